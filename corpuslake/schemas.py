@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
-KNOWLEDGE_DOCUMENTS = StructType.fromDDL(
-    "document_id string, source_path string, file_hash string, file_size bigint, "
-    "status string, chunk_count bigint, index_schema_version int, "
-    "embedding_provider string, embedding_model string, error_message string"
+_KINDS = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "strings": T.ArrayType(T.StringType()), "doubles": T.ArrayType(T.DoubleType()),
+}
+
+
+def row(**columns: str | T.DataType) -> T.StructType:
+    """Row type from column names and short kinds."""
+    return T.StructType([
+        T.StructField(name, _KINDS[kind] if isinstance(kind, str) else kind)
+        for name, kind in columns.items()
+    ])
+
+
+KNOWLEDGE_DOCUMENTS = row(
+    document_id="string", source_path="string", file_hash="string", file_size="bigint",
+    status="string", chunk_count="bigint", index_schema_version="int",
+    embedding_provider="string", embedding_model="string", error_message="string",
 )
-KNOWLEDGE_CHUNKS = StructType.fromDDL(
-    "chunk_id string, document_id string, file_hash string, chunk_index bigint, "
-    "content string, content_hash string, token_count bigint, source_path string"
+KNOWLEDGE_CHUNKS = row(
+    chunk_id="string", document_id="string", file_hash="string", chunk_index="bigint",
+    content="string", content_hash="string", token_count="bigint", source_path="string",
 )
-CHUNK_VECTORS = StructType.fromDDL(
-    "chunk_id string, document_id string, embedding array<double>, generation string"
+CHUNK_VECTORS = row(
+    chunk_id="string", document_id="string", embedding="doubles", generation="string"
 )
-INDEX_STATE = StructType.fromDDL(
-    "seq bigint, active_generation string, index_schema_version int, "
-    "embedding_fingerprint string, corpus_fingerprint string, updated_at timestamp"
+INDEX_STATE = row(
+    seq="bigint", active_generation="string", index_schema_version="int",
+    embedding_fingerprint="string", corpus_fingerprint="string", updated_at="timestamp",
 )
-RELEVANT = "source:string,page:int,section:string,evidence:string"
-QUESTIONS = StructType.fromDDL(
-    "id string, split string, category string, question string, ground_truth string, "
-    f"relevant_sources array<struct<{RELEVANT}>>, answer_keywords array<string>, "
-    "unanswerable boolean"
+DUPLICATES = row(
+    source_path="string", file_hash="string", existing_path="string", batch_id="bigint"
 )
-DOCUMENTS = StructType.fromDDL(
-    "doc_id bigint, text string, lang string, source string, n_chars bigint"
+RELEVANT = row(source="string", page="int", section="string", evidence="string")
+QUESTIONS = row(
+    id="string", split="string", category="string", question="string",
+    ground_truth="string", relevant_sources=T.ArrayType(RELEVANT),
+    answer_keywords="strings", unanswerable="boolean",
 )

@@ -12,14 +12,14 @@ from pyspark.sql.types import StructType
 from corpuslake.config import DEFAULTS, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import chunking, maintain
-from corpuslake.schemas import KNOWLEDGE_CHUNKS, KNOWLEDGE_DOCUMENTS
+from corpuslake.schemas import DUPLICATES, KNOWLEDGE_CHUNKS, KNOWLEDGE_DOCUMENTS
 from corpuslake.sources.store import _exists
 
 
 def _with(schema: StructType, *columns: str) -> StructType:
     result = StructType(list(schema.fields))
     for column in columns:
-        result = result.add(column, "bigint")
+        result = result.add(column, "long")
     return result
 
 
@@ -38,10 +38,6 @@ class StreamTables:
 
     DOCUMENTS = _with(KNOWLEDGE_DOCUMENTS, "chunk_batch", "batch_id")
     CHUNKS = _with(KNOWLEDGE_CHUNKS, "batch_id")
-    DUPLICATES = StructType.fromDDL(
-        "source_path string, file_hash string, existing_path string, batch_id bigint"
-    )
-
     def _read(self, table: str, schema: StructType) -> DataFrame:
         path = f"{self.root}/{table}"
         if not _exists(self.spark, path):
@@ -76,7 +72,7 @@ class StreamTables:
         )
 
     def duplicates(self) -> DataFrame:
-        return self._read("duplicates", self.DUPLICATES)
+        return self._read("duplicates", DUPLICATES)
 
     def apply(self, files: DataFrame, batch: int) -> None:
         """Take one micro-batch of files (source_path, file_hash, file_size, text)."""
@@ -98,7 +94,7 @@ class StreamTables:
         own = self.documents(batch, files).select("source_path", F.lit(True).alias("_own"))
         judged = judged.join(own, "source_path", "left")
         is_copy = (F.col("existing_path") != F.col("source_path")) & F.col("_own").isNull()
-        self._write(judged.where(is_copy), "duplicates", self.DUPLICATES, batch)
+        self._write(judged.where(is_copy), "duplicates", DUPLICATES, batch)
         arrived = judged.where(~is_copy).select(
             "source_path", "file_hash", "file_size", "text"
         )
@@ -108,7 +104,10 @@ class StreamTables:
             F.col("change").isin("added", "modified")
         )
         todo = arrived.join(changes.select("source_path", "document_id"), "source_path").join(
-            stored.select("source_path", F.col("chunk_batch").alias("_old_batch")),
+            stored.select(
+                "source_path", F.col("chunk_batch").alias("_old_batch"),
+                F.col("chunk_count").alias("_old_count"),
+            ),
             "source_path", "left",
         ).withColumn(
             "document_id", F.coalesce("document_id", F.sha2("source_path", 256))
@@ -123,7 +122,9 @@ class StreamTables:
         rows = todo.join(counts, "document_id", "left").select(
             "document_id", "source_path", "file_hash", "file_size",
             F.when(~blank | had_rows, "ready").otherwise("failed").alias("status"),
-            F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"),
+            F.coalesce(
+                "chunk_count", F.when(blank, F.col("_old_count")), F.lit(0)
+            ).cast("long").alias("chunk_count"),
             F.lit(self.settings.index_schema_version).alias("index_schema_version"),
             F.lit(self.settings.embedding_provider).alias("embedding_provider"),
             F.lit(self.settings.embedding_model).alias("embedding_model"),
