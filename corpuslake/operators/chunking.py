@@ -279,19 +279,25 @@ def semantic_chunks(
 ) -> DataFrame:
     """Texts of the semantic groups, then the final size split.
 
-    ``units`` also has a content column. Groups are as long as the text between
-    two breaks; the size split brings each of them under the limit.
+    ``units`` also has a content column. Groups also end at every second chunk
+    size of text, as a coarse split before the semantic one would have it, so a
+    document without breaks is never put together as a whole.
     """
     groups = semantic_groups(units, p).join(
         units.select("document_id", "unit_id", "content"), ["document_id", "unit_id"]
     )
-    texts = groups.groupBy("document_id", "group_id").agg(
+    sized = ranking.running_sum(
+        groups, ["document_id"], "pos",
+        tx.token_count(F.col("content")).cast("long"), "_tokens",
+    ).withColumn("_coarse", F.floor(F.col("_tokens") / (2 * settings.chunk_size)))
+    texts = sized.groupBy("document_id", "group_id", "_coarse").agg(
+        F.min("pos").cast("int").alias("part_index"),
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("pos", "content"))),
                 lambda item: item["content"],
             ),
             " ",
-        ).alias("content")
-    ).select("document_id", F.col("group_id").cast("int").alias("part_index"), "content")
+        ).alias("content"),
+    ).select("document_id", "part_index", "content")
     return with_positions(split_documents(texts, settings))

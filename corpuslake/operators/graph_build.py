@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from corpuslake.config import DEFAULTS, ENTITY_TYPES, PREDICATES, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import ranking
+from corpuslake.session import cut_lineage
 
 ENTITY = (
     "struct<local_id:string,name:string,type:string,"
@@ -41,6 +42,14 @@ class Graph:
     evidence: DataFrame
 
 
+def stored(graph: Graph) -> Graph:
+    """The five tables written to the shared folder: built once, read often."""
+    return Graph(*[
+        cut_lineage(getattr(graph, name), name)
+        for name in ("entities", "aliases", "mentions", "relations", "evidence")
+    ])
+
+
 # --- work selection and batches --------------------------------------------
 
 def select_work(
@@ -342,20 +351,20 @@ def with_normalized(df: DataFrame, name: str, out: str, nfkc: bool = True) -> Da
     def compose(names: pd.Series) -> pd.Series:
         return names.map(lambda n: unicodedata.normalize("NFKC", n))
 
-    special = F.col(name).rlike(r"[^\x00-\x7f]")
+    special = F.coalesce(F.col(name).rlike(r"[^\x00-\x7f]"), F.lit(False))
+    other = df.where(special)
     table = (
-        df.where(special)
-        .select(F.col(name).alias("_name"))
-        .distinct()
-        .withColumn("_nfkc", compose("_name"))
+        other.select(F.col(name).alias("_name")).distinct().withColumn("_nfkc", compose("_name"))
     )
-    key = F.when(special, F.col(name))
-    return (
-        df.withColumn("_key", key)
-        .join(table, F.col("_key") == F.col("_name"), "left")
-        .withColumn(out, tx.normalize_name(F.coalesce("_nfkc", F.col(name))))
-        .drop("_key", "_name", "_nfkc")
+    # Two branches, not one left join: names without a partner would all meet in
+    # the task of the null key.
+    composed = (
+        other.join(table, F.col(name) == F.col("_name"))
+        .withColumn(out, tx.normalize_name(F.col("_nfkc")))
+        .drop("_name", "_nfkc")
     )
+    plain = df.where(~special).withColumn(out, tx.normalize_name(F.col(name)))
+    return plain.unionByName(composed)
 
 
 def entity_id(kind, normalized):

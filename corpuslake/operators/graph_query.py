@@ -11,6 +11,7 @@ from corpuslake.config import DEFAULTS, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import ranking
 from corpuslake.operators.graph_build import Graph
+from corpuslake.session import cut_lineage
 
 
 def table_counts(graph: Graph) -> DataFrame:
@@ -81,17 +82,18 @@ def search_entities(
     """Best entities of each query by name or alias, with their match score."""
     from corpuslake.operators.graph_build import with_normalized
 
-    asked = with_normalized(queries, "query", "query_norm", nfkc).select(
-        "query_id", "query_norm"
+    # Lengths, substrings and pairs all come from these two short tables.
+    asked = cut_lineage(
+        with_normalized(queries, "query", "query_norm", nfkc).select("query_id", "query_norm")
     )
-    keyed = graph.entities.select(
+    keyed = cut_lineage(graph.entities.select(
         "entity_id", F.col("normalized_name").alias("name_norm"), F.lit(False).alias("is_alias")
     ).unionByName(
         graph.aliases.select(
             "entity_id", F.col("normalized_alias").alias("name_norm"),
             F.lit(True).alias("is_alias"),
         )
-    )
+    ))
     matches = name_pairs(asked, keyed).join(keyed, "name_norm")
     score = F.when(
         F.col("is_alias"), tx.alias_score(F.col("query_norm"), F.col("name_norm"))
@@ -129,7 +131,7 @@ def neighbors(
         "relation_id", "subject_id", "predicate", "object_id", "confidence"
     )
     ends = graph.entities.select("entity_id", "canonical_name", "entity_type")
-    frontier = seeds.select("query_id", "entity_id").distinct()
+    frontier = cut_lineage(seeds.select("query_id", "entity_id").distinct())
     visited, used, hops = None, None, []
 
     for hop in range(1, settings.graph_max_hops + 1):
@@ -162,6 +164,9 @@ def neighbors(
         kept = left_over(named, [F.asc("side"), F.asc("relation_id")]).withColumn(
             "hop", F.lit(hop)
         )
+        # The next hop needs these few rows several times; kept as a table, they are
+        # found once, and the plan stays as small as that of one hop.
+        kept = cut_lineage(kept)
         hops.append(kept)
         if hop == settings.graph_max_hops:
             break
@@ -200,7 +205,7 @@ def search(
     nfkc: bool = True,
 ) -> DataFrame:
     """Graph retrieval: seeds, edges, evidence, best chunks with their facts."""
-    seeds = search_entities(queries, graph, settings.graph_entity_k, nfkc)
+    seeds = cut_lineage(search_entities(queries, graph, settings.graph_entity_k, nfkc))
     return search_from(seeds, neighbors(seeds, graph, settings), graph, chunks, settings)
 
 
@@ -214,7 +219,7 @@ def search_from(
     seed_score = seeds.select(
         "query_id", F.col("entity_id").alias("subject_id"), "match_score"
     )
-    scored = edges.join(seed_score, ["query_id", "subject_id"], "left").select(
+    scored = cut_lineage(edges.join(seed_score, ["query_id", "subject_id"], "left").select(
         "query_id",
         "relation_id",
         F.round(
@@ -226,7 +231,7 @@ def search_from(
         tx.fact_text(
             F.col("subject_name"), F.col("predicate"), F.col("object_name")
         ).alias("_fact"),
-    )
+    ))
     # A chunk among the best k of a query is among the first k chunks of its best
     # relation, since all chunks of that relation score at least as much. So each
     # relation passes on k chunks, whatever the number of its evidence rows.
@@ -239,12 +244,12 @@ def search_from(
     first = ranking.top_k(
         support, ["relation_id"], [F.asc("chunk_id")], settings.vector_k
     ).drop("rank")
-    best = ranking.top_k(
+    best = cut_lineage(ranking.top_k(
         first.join(scored, "relation_id")
         .groupBy("query_id", "chunk_id")
         .agg(F.max("_score").alias("graph_score")),
         ["query_id"], [F.desc("graph_score"), F.asc("chunk_id")], settings.vector_k,
-    )
+    ))
     # All facts of the few chosen chunks; a query has a limited number of edges.
     facts = (
         support.join(best.select("query_id", "chunk_id"), "chunk_id")

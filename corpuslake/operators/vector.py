@@ -41,6 +41,8 @@ def hashed_embedding(
         df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))]
     )
 
+    kept, names = df.columns, schema.names
+
     def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("_buckets"))
@@ -56,8 +58,8 @@ def hashed_embedding(
                 pa.array(np.arange(rows + 1) * dims, pa.int32()),
                 pa.array(matrix.ravel()),
             )
-            keep = [batch.column(batch.schema.get_field_index(f.name)) for f in df.schema]
-            yield pa.RecordBatch.from_arrays(keep + [vectors], names=schema.names)
+            same = [batch.column(batch.schema.get_field_index(name)) for name in kept]
+            yield pa.RecordBatch.from_arrays(same + [vectors], names=names)
 
     return hashed.mapInArrow(count_buckets, schema)
 
@@ -115,7 +117,7 @@ def search(
         T.StructField(id_column, id_type),
         T.StructField("score", T.DoubleType()),
     ])
-    slim = vectors.select(id_column, "embedding")
+    slim, names = vectors.select(id_column, "embedding"), schema.names
 
     def one_block(block: int) -> DataFrame:
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
@@ -145,7 +147,7 @@ def search(
                         batch.column(0).take(pa.array(rows)),
                         pa.array(scores[rows, cols]),
                     ],
-                    names=schema.names,
+                    names=names,
                 )
 
         return slim.mapInArrow(best, schema)

@@ -130,7 +130,7 @@ UNION ALL SELECT 'mentions', count(*) FROM mn UNION ALL SELECT 'relations', coun
 UNION ALL SELECT 'evidence', count(*) FROM ev""")
 def j11(k):
     gone = k.order_texts().where(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"))
-    return graph_query.table_counts(graph_build.drop_documents(k.order_graph(), gone))
+    return graph_query.table_counts(graph_build.drop_documents(k.order_graph(stored=True), gone))
 
 
 @query("j12_clean_orphans", f"""

@@ -41,10 +41,10 @@ def k1(k):
     return bm25.postings(k.active_chunks()).select("token", "chunk_id", "tf", "length")
 
 
-@query("k2_bm25_topk", "SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM kbm25")
+@query("k2_bm25_topk", "SELECT query_id, chunk_id, score, rank FROM kbm25")
 def k2(k):
     return bm25.search(k.queries(), k.active_chunks()).select(
-        "query_id", "chunk_id", F.round("score", 5).alias("score"), "rank"
+        "query_id", "chunk_id", "score", "rank"
     )
 
 
@@ -68,21 +68,21 @@ cq AS (SELECT label, list(x ORDER BY d) AS m, sqrt(sum(x * x)) AS norm FROM mean
 
 @query("k3_vector_topk", CENTROIDS + """
 SELECT * FROM (
-  SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank
   FROM (SELECT q.label::BIGINT AS query_id, e.vec_id,
                round(list_dot_product(q.m, e.embedding::DOUBLE[]) / q.norm, 6) AS score
         FROM cq q, embeddings e)) WHERE rank < 8""")
 def k3(k):
     vectors = k.table("embeddings")
     return vector.search(vector.centroids(vectors), vectors, id_column="vec_id").select(
-        "query_id", "vec_id", F.round("score", 5).alias("score"), "rank"
+        "query_id", "vec_id", "score", "rank"
     )
 
 
-@query("k3_text_vector_topk", "SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM kvec")
+@query("k3_text_vector_topk", "SELECT query_id, chunk_id, score, rank FROM kvec")
 def k3b(k):
     return vector.search(k.query_vectors().select("query_id", "embedding"), k.chunk_vectors()).select(
-        "query_id", "chunk_id", F.round("score", 5).alias("score"), "rank"
+        "query_id", "chunk_id", "score", "rank"
     )
 
 

@@ -23,11 +23,11 @@ def c1(k):
 
 
 @query("c2_tail_merge", """
-SELECT document_id, grp - 1 AS group_no, string_agg(content, chr(10) ORDER BY pos) AS content FROM (
+SELECT document_id, (grp - 1)::BIGINT AS group_no, string_agg(content, chr(10) ORDER BY pos) AS content FROM (
   SELECT *, sum(CASE WHEN first OR NOT tiny THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY pos) AS grp
   FROM (SELECT *, greatest(1, length(content) // 2) < 80 AS tiny,
                row_number() OVER (PARTITION BY document_id ORDER BY pos) = 1 AS first FROM klines))
-GROUP BY 1, 2""")
+GROUP BY 1, grp""")
 def c2(k):
     merged = chunking.merge_tiny_tails(k.lines().select("document_id", "pos", "content"))
     return ranking.position(merged.withColumn("pos", F.col("pos").cast("long")), ["document_id"], "pos", "group_no").select(
@@ -145,7 +145,7 @@ def d7(k):
 def thinned(k):
     """Order graph after the machinery customers' evidence and mentions are gone."""
     gone = k.order_texts().where("c_mktsegment = 'MACHINERY'").select("chunk_id")
-    return graph_build.drop_chunks(k.order_graph(), gone)
+    return graph_build.drop_chunks(k.order_graph(stored=True), gone)
 
 
 THIN_EV = "(SELECT * FROM gev WHERE chunk_id NOT IN (SELECT chunk_id FROM ktexts WHERE c_mktsegment = 'MACHINERY'))"
@@ -252,7 +252,7 @@ SELECT 'entities' AS table_name, count(*) AS n FROM ge UNION ALL SELECT 'aliases
 UNION ALL SELECT 'mentions', count(*) FROM gm UNION ALL SELECT 'relations', count(*) FROM gr
 UNION ALL SELECT 'evidence', count(*) FROM gev""")
 def e2(k):
-    return graph_query.table_counts(k.order_graph())
+    return graph_query.table_counts(k.order_graph(stored=True))
 
 
 @query("e3_token_statistics", """
@@ -444,7 +444,7 @@ def h3(k):
 @query("h4_entity_id_union", """
 SELECT entity_id FROM gm UNION SELECT subject_id FROM gr UNION SELECT object_id FROM gr""")
 def h4(k):
-    g = k.order_graph()
+    g = k.order_graph(stored=True)
     named = lambda df, c: df.select(F.col(c).alias("entity_id"))
     return named(g.mentions, "entity_id").unionByName(named(g.relations, "subject_id")).unionByName(
         named(g.relations, "object_id")

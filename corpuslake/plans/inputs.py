@@ -9,6 +9,7 @@ from corpuslake.config import DEFAULTS
 from corpuslake.functions import text as tx
 from corpuslake.operators import chunking, graph_build, maintain, ranking, vector
 from corpuslake.operators.graph_build import ENTITY, RELATION, Graph
+from corpuslake.session import cut_lineage
 
 
 class Corpus:
@@ -278,8 +279,10 @@ class Corpus:
     def order_parsed(self) -> DataFrame:
         return graph_build.parse_responses(self.order_answers())
 
-    def order_graph(self) -> Graph:
-        return graph_build.merge_graph(graph_build.confident(self.order_parsed()), nfkc=False)
+    def order_graph(self, stored: bool = False) -> Graph:
+        parsed = cut_lineage(graph_build.confident(self.order_parsed()), "parsed")
+        graph = graph_build.merge_graph(parsed, nfkc=False)
+        return graph_build.stored(graph) if stored else graph
 
     def order_batches(self) -> DataFrame:
         """Orders of a customer in batches of six, with the whole-batch answer."""
@@ -369,6 +372,7 @@ class Corpus:
             .withColumn("relation_id", graph_build.relation_id(
                 F.col("subject_id"), F.col("predicate"), F.col("object_id")))
         )
+        stated = cut_lineage(stated, "stated")
         evidence = stated.groupBy("relation_id", "chunk_id").agg(
             F.min("document_id").alias("document_id"), F.min("quote").alias("quote"),
             F.max("confidence").alias("confidence"),
@@ -382,7 +386,7 @@ class Corpus:
             .groupBy("entity_id", "chunk_id").agg(F.min("document_id").alias("document_id"))
             .withColumn("confidence", F.lit(1.0))
         )
-        return Graph(entities, aliases, mentions, relations, evidence)
+        return graph_build.stored(Graph(entities, aliases, mentions, relations, evidence))
 
     def trade_chunks(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").cast("string").alias("chunk_id"))
@@ -400,6 +404,7 @@ class Corpus:
     def document_graph(self) -> Graph:
         """Graph over the active chunks, by the built-in co-occurrence extractor."""
         answers = graph_build.cooccurrence_responses(self.active_chunks())
-        return graph_build.merge_graph(
-            graph_build.confident(graph_build.parse_responses(answers)), nfkc=False
+        parsed = cut_lineage(
+            graph_build.confident(graph_build.parse_responses(answers)), "parsed"
         )
+        return graph_build.stored(graph_build.merge_graph(parsed, nfkc=False))

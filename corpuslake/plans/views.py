@@ -469,7 +469,7 @@ WHERE document_id IN (SELECT document_id FROM kdocs WHERE lang <> 'es')
 UNION ALL SELECT chunk_id, document_id, 'g2' FROM kactive"""
 VIEWS["kfp"] = """
 SELECT substr(sha256(string_agg(h, '' ORDER BY b)), 1, 16) AS fingerprint FROM (
-  SELECT substr(sha256(source_path), 1, 3) AS b,
+  SELECT substr(sha256(source_path), 1, 4) AS b,
          sha256(string_agg(source_path || ':' || file_hash, chr(10) ORDER BY source_path || ':' || file_hash)) AS h
   FROM kdocs GROUP BY 1)"""
 VIEWS["kmessages"] = """

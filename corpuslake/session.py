@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "corpusl
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -14,11 +14,9 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     Only the listing is read: the content column is pruned unless used later.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index(F.url_decode(
-        # A plus sign is itself in a path, not an encoded blank.
-        F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))
-    ), base, -1)
+    # A plus sign is itself in a path, not an encoded blank.
+    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    relative = F.substring_index(path, root.rstrip("/") + "/", -1)
     return files.withColumn("source_path", relative).where(
         tx.is_supported_file(F.col("source_path"))
     )

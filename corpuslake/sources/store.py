@@ -48,7 +48,7 @@ class Store:
         """Rows of one generation (partition-pruned) or of all of them."""
         schema = self.TABLES[table]
         if "generation" not in schema.names:
-            schema = type(schema)(schema.fields).add("generation", "string")
+            schema = type(schema)(list(schema.fields)).add("generation", "string")
         path = f"{self.root}/{table}"
         if not _exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
