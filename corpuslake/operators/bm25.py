@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslake.config import DEFAULTS, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import ranking
+from corpuslake.session import cut_lineage
 
 CHUNK_COLUMNS = ["chunk_id", "document_id", "chunk_index"]
 
@@ -101,8 +102,12 @@ def score(
 ) -> DataFrame:
     """BM25 score of each query and chunk that share a token."""
     avg_length = stats.select("avg_length").scalar()
-    weighted = query_tokens(queries, tokenizer).join(idf, "token").select(
-        "query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight")
+    # Written first, so that its true size is known: under the broadcast threshold
+    # the index is scored where it lies, above it the join shuffles.
+    weighted = cut_lineage(
+        query_tokens(queries, tokenizer).join(idf, "token").select(
+            "query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight")
+        )
     )
     k1, b = F.lit(settings.bm25_k1), F.lit(settings.bm25_b)
     saturation = (

@@ -212,16 +212,23 @@ def parse_responses(answers: DataFrame) -> DataFrame:
     that is in the text. The lists of one answer are in one row, so nothing is
     shuffled.
     """
-    cleaned = tx.strip_model_noise(F.col("raw"))
-    is_object = F.coalesce(
-        F.try_parse_json(cleaned).isNotNull() & cleaned.startswith("{"), F.lit(False)
-    )
-    parsed = answers.withColumn("ok", is_object).withColumn(
-        "_data", F.when(F.col("ok"), F.from_json(cleaned, RESPONSE))
+    parsed = _cleaned(answers).withColumn("ok", _is_object()).withColumn(
+        "_data", F.when(F.col("ok"), F.from_json("_clean", RESPONSE))
     )
     return _validated(parsed)
 
 
+def _cleaned(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("_clean", tx.strip_model_noise(F.col("raw")))
+
+
+def _is_object():
+    return F.coalesce(
+        F.try_parse_json("_clean").isNotNull() & F.col("_clean").startswith("{"),
+        F.lit(False),
+    )
+
+
 def _validated(parsed: DataFrame) -> DataFrame:
     good_entity = lambda e: (
         e["local_id"].isNotNull()
@@ -247,10 +254,11 @@ def _validated(parsed: DataFrame) -> DataFrame:
         & (r["subject"] != r["object"])
         & (F.length(r["evidence"]) > 0)
         & F.coalesce(r["confidence"], F.lit(0.8)).between(0.0, 1.0)
-        & tx.quoted_in(r["evidence"], F.col("content"))
+        & F.contains(F.col("_flat"), tx.squeeze(r["evidence"]))
     )
     return (
         usable.withColumn("_ids", ids)
+        .withColumn("_flat", tx.squeeze(F.col("content")))
         .withColumn(
             "relations",
             F.transform(
@@ -278,12 +286,8 @@ def parse_batch_responses(batch_answers: DataFrame, members: DataFrame) -> DataF
     chunk_id, document_id and content. When the set of ids differs, every chunk
     of the batch fails.
     """
-    cleaned = tx.strip_model_noise(F.col("raw"))
-    is_object = F.coalesce(
-        F.try_parse_json(cleaned).isNotNull() & cleaned.startswith("{"), F.lit(False)
-    )
-    parsed = batch_answers.withColumn(
-        "_chunks", F.when(is_object, F.from_json(cleaned, BATCH)["chunks"])
+    parsed = _cleaned(batch_answers).withColumn(
+        "_chunks", F.when(_is_object(), F.from_json("_clean", BATCH)["chunks"])
     )
     answered = F.array_sort(
         F.array_distinct(

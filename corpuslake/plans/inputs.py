@@ -18,8 +18,16 @@ class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
+    SPREAD = ("documents", "pages", "conversations", "orders", "lineitem", "events")
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A driver table. One that comes in fewer splits than there are cores is
+        spread over all of them; a big one has more splits and stays as it is."""
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in self.SPREAD and rows.rdd.getNumPartitions() < cores:
+            return rows.repartition(cores)
+        return rows
 
     # --- documents and chunks ----------------------------------------------
 
