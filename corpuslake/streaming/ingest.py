@@ -13,6 +13,7 @@ from corpuslake.config import DEFAULTS, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import chunking, maintain
 from corpuslake.schemas import DUPLICATES, KNOWLEDGE_CHUNKS, KNOWLEDGE_DOCUMENTS
+from corpuslake.session import cut_lineage
 from corpuslake.sources.store import _exists
 
 
@@ -92,7 +93,8 @@ class StreamTables:
         )
         # A path that is already a document of its own goes on to the diff.
         own = self.documents(batch, files).select("source_path", F.lit(True).alias("_own"))
-        judged = judged.join(own, "source_path", "left")
+        # Read several times below, so the batch is judged once and kept.
+        judged = cut_lineage(judged.join(own, "source_path", "left"), "batch")
         is_copy = (F.col("existing_path") != F.col("source_path")) & F.col("_own").isNull()
         self._write(judged.where(is_copy), "duplicates", DUPLICATES, batch)
         arrived = judged.where(~is_copy).select(
@@ -112,6 +114,7 @@ class StreamTables:
         ).withColumn(
             "document_id", F.coalesce("document_id", F.sha2("source_path", 256))
         )
+        todo = cut_lineage(todo, "batch")
         blank = tx.is_blank(F.col("text"))
         fresh = self.chunker(todo.where(~blank))
         self._write(fresh, "chunks", self.CHUNKS, batch)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslake.operators import chunking, graph_build, graph_query, vector
-from corpuslake.session import shared_dir
+from corpuslake.session import cut_lineage, shared_dir
 from corpuslake.sources.store import Store
 from corpuslake.streaming.ingest import StreamTables
 
@@ -37,8 +37,8 @@ def test_validation(spark):
 def test_upsert_twice_search_and_delete(spark):
     body = {"entities": [entity("e1", "Scheduler", aliases=["sched"]), entity("e2", "Queue")],
             "relations": [relation("e1", "e2", confidence=0.9)]}
-    parsed = graph_build.confident(graph_build.parse_responses(answers(spark, json.dumps(body))))
-    graph = graph_build.merge_graph(parsed)
+    parsed = cut_lineage(graph_build.confident(graph_build.parse_responses(answers(spark, json.dumps(body)))))
+    graph = graph_build.stored(graph_build.merge_graph(parsed))
     counts = lambda g: {r.table_name: r.n for r in graph_query.table_counts(g).collect()}
     want = {"entities": 2, "aliases": 1, "mentions": 2, "relations": 1, "evidence": 1}
     assert counts(graph) == want and counts(graph_build.upsert(graph, parsed)) == want
@@ -48,7 +48,7 @@ def test_upsert_twice_search_and_delete(spark):
     hits = graph_query.search(asked, graph, answers(spark, "")).collect()
     assert {h.chunk_id for h in hits} == {"c1"}
     assert hits[0].graph_facts == ["Scheduler --DEPENDS_ON--> Queue"]
-    empty = graph_build.parse_responses(answers(spark, '{"entities": [], "relations": []}'))
+    empty = cut_lineage(graph_build.parse_responses(answers(spark, '{"entities": [], "relations": []}')))
     assert set(counts(graph_build.upsert(graph, empty)).values()) == {0}
 
 
