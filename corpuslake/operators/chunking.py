@@ -215,7 +215,7 @@ def line_chunks(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     """
     lines = F.array_distinct(
         F.transform(
-            F.filter(F.split("text", "\n"), lambda line: ~tx.is_blank(line)), tx.strip
+            F.filter(F.split("text", "\n"), lambda line: ~tx.is_blank(line)), tx.strip_line
         )
     )
     exploded = documents.select(
