@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from corpuslake.llm import language_id, sentencepiece_bpe, toxicity  # noqa: F401
+from corpuslake.llm import jaccard_join, language_id, sentencepiece_bpe, toxicity  # noqa: F401
 from corpuslake.llm.registry import ORACLES, QUERIES  # noqa: F401
