@@ -7,6 +7,7 @@ carriage return. All arrays of one block share the order of the words; a documen
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,9 +105,18 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a column of texts into blocks of about ``limit`` bytes, between documents."""
+# Bytes with ASCII punctuation read as spaces.
+BARE = np.array([32 if chr(b) in string.punctuation else b for b in range(256)], np.uint8)
+
+
+def blocks(
+    texts: pa.Array, limit: int = BLOCK_BYTES, read_as: np.ndarray | None = None,
+) -> Iterator[Block]:
+    """Cut a column of texts into blocks of about ``limit`` bytes, between documents. With
+    ``read_as`` each byte is replaced first."""
     data, bounds = text_buffers(texts)
+    if read_as is not None:
+        data = read_as[data]
     at, n = 0, len(bounds) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
