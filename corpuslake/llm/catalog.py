@@ -1,4 +1,6 @@
 """All queries of this subpackage."""
 
-from corpuslake.llm import jaccard_join, language_id, sentencepiece_bpe, toxicity  # noqa: F401
+from corpuslake.llm import (  # noqa: F401
+    jaccard_join, language_id, secret_scan, sentencepiece_bpe, toxicity, url_filter,
+)  # noqa: F401
 from corpuslake.llm.registry import ORACLES, QUERIES  # noqa: F401
