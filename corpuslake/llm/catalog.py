@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
 from corpuslake.llm import (  # noqa: F401
-    decontaminate, jaccard_join, language_id, secret_scan, sentencepiece_bpe, substring_dedup, toxicity, url_filter,
+    decontaminate, html_extract, jaccard_join, language_id, secret_scan, sentencepiece_bpe, substring_dedup, toxicity, url_filter,
 )
 from corpuslake.llm.registry import ORACLES, QUERIES  # noqa: F401
