@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,16 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         # Spark frees the shuffle files of collected plans only; ask for it between the stages.
+        gc.collect()
         jvm.System.gc()
 
 
+def near(small: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A written table of a few numbers a row, broadcast if it has at most so many rows (counted);
+    a longer one is shuffled and hashed, so that the other side is never sorted."""
+    return F.broadcast(small) if small.count() <= limit else small.hint("shuffle_hash")
+
+
 def components(edges: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
     """``node, component`` for every node of ``edges`` (columns a, b); the component is the
     smallest node reachable. Alternating large and small stars: in each round every node hands its
