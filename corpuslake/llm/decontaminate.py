@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm.registry import query, table
-from corpuslake.llm.workspace import Workspace
+from corpuslake.llm.workspace import Workspace, near
 
 WORDS = 5
 SHARE = 0.8  # of an item's distinct windows that a leak contains
 LITERALS = 2  # words of a window that are no placeholders; an item without such windows uses all
-BROADCAST_LEAKS = 500_000  # pairs that are broadcast up to so many, beyond it shuffled
 BROADCAST_WINDOWS = 1_000_000  # windows of the benchmark that are broadcast, beyond it shuffled
 
 # What counts as a unit after a number, and the placeholders.
@@ -97,10 +96,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None)
     work = work or Workspace(docs.sparkSession, "leaks")
     docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     items = work.keep(item_windows(benchmark), "items")
-    near = F.broadcast if items.count() <= BROADCAST_WINDOWS else (lambda df: df)
     seen = docs.select("doc_id", "text_hash", F.posexplode(
         window_hashes(hashed(template(F.col("text"))))).alias("pos", "window"))
-    hits = seen.join(near(items), "window").groupBy(
+    hits = seen.join(near(items, BROADCAST_WINDOWS), "window").groupBy(
         "doc_id", "text_hash", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("offset"),
     ).agg(F.collect_set("window").alias("w"))  # an item's windows at most
     found = hits.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(
@@ -110,9 +108,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None)
     found = work.keep(found.select("doc_id", "text_hash", "item_id", "n_windows", "n_shared",
                                    (-F.col("best.back")).alias("offset")), "found")
 
-    near = F.broadcast(found) if found.count() <= BROADCAST_LEAKS else found
     asked = benchmark.where("item_id is not null").select("item_id", words(marked(F.col("text"))).alias("asked"))
-    pairs = docs.join(near, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "item_id"])
+    pairs = docs.join(near(found), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "item_id"])
     pairs = pairs.withColumn("said", words(marked(F.col("text")))).drop("text").join(asked, "item_id")
     # Words before the start of the document are missing: pad them with nulls.
     said = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-F.col("offset"), F.lit(0))),
@@ -134,9 +131,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None)
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item; all columns stay."""
-    bad = leaks(docs, benchmark).select("doc_id", "text_hash").distinct()
-    return docs.withColumn("text_hash", F.xxhash64("text")).join(
-        bad, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    work = Workspace(docs.sparkSession, "leaks")
+    bad = work.keep(leaks(docs, benchmark, work).select("doc_id", "text_hash").distinct(), "bad")
+    bad = near(bad.select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")))
+    return docs.join(bad, (docs["doc_id"] == bad["leak_id"]) & (F.xxhash64(docs["text"]) == bad["leak_hash"]), "left_anti")
 
 
 @query("op8_decontamination")
