@@ -27,7 +27,7 @@ def distinct_sources(ranked: DataFrame) -> DataFrame:
         tx.eval_source(F.coalesce(F.col("source"), F.lit("unknown"))).alias("source_key"),
     )
     first = keyed.groupBy("query_id", "source_key").agg(F.min("rank").alias("_first"))
-    return ranking.top_k(first, ["query_id"], [F.asc("_first")], 1 << 30).drop("_first")
+    return ranking.top_k(first, ["query_id"], [F.asc("_first")], None).drop("_first")
 
 
 def retrieval_metrics(

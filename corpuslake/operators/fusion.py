@@ -65,14 +65,22 @@ def _ordered(column: str):
 def rrf(lists: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Weighted reciprocal rank fusion per query.
 
-    A chunk that is in several lists, or twice in one, adds up. Metadata merge in
-    arrival order; equal scores keep the order of first sight.
+    A chunk that is in several lists, or twice in one, adds up; a row without chunk
+    id is a result of its own. Metadata merge in arrival order (channels, facts and
+    ``matched_queries`` without repeats); equal scores keep the order of first sight.
     """
     share = F.col("weight") / (F.lit(settings.rrf_k) + F.col("rank") + 1)
     arrival = F.struct("list_pos", "rank")
-    own = {*LIST_COLUMNS, "graph_facts", "graph_score"}
+    own = {*LIST_COLUMNS, "graph_facts", "graph_score", "matched_queries"}
     rest = [name for name in lists.columns if name not in own]
-    merged = lists.where(F.col("chunk_id").isNotNull()).groupBy("query_id", "chunk_id").agg(
+    alone = F.when(F.col("chunk_id").isNull(), arrival).alias("_alone")
+    matched = [
+        F.array_distinct(F.flatten(F.filter(
+            _ordered("matched_queries"), lambda names: names.isNotNull()
+        ))).alias("matched_queries")
+    ] if "matched_queries" in lists.columns else []
+    merged = lists.groupBy("query_id", "chunk_id", alone).agg(
+        *matched,
         F.round(F.sum(share), 9).alias("fusion_score"),
         F.array_distinct(_ordered("channel")).alias("retrieval_channels"),
         F.array_distinct(F.flatten(_ordered("graph_facts"))).alias("graph_facts"),
@@ -90,7 +98,7 @@ def rrf(lists: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return ranking.top_k(
         merged, ["query_id"], [F.desc("fusion_score"), F.asc("_first")],
         settings.candidate_k,
-    ).drop("_first")
+    ).drop("_first", "_alone")
 
 
 def multi_query_position(query_index, list_index: int, lists_per_query: int):
@@ -105,7 +113,7 @@ def first_seen(hits: DataFrame) -> DataFrame:
     )
     return ranking.top_k(
         first.withColumnRenamed("rank", "_rank"),
-        ["query_id"], [F.asc("list_pos"), F.asc("_rank")], 1 << 30,
+        ["query_id"], [F.asc("list_pos"), F.asc("_rank")], None,
     ).drop("_rank")
 
 
@@ -121,7 +129,7 @@ def rerank_degraded(candidates: DataFrame) -> DataFrame:
     """When the scorer fails: all candidates by fusion score, with a flag."""
     return ranking.top_k(
         candidates.withColumnRenamed("rank", "_rank"),
-        ["query_id"], [F.desc("fusion_score"), F.asc("_rank")], 1 << 30,
+        ["query_id"], [F.desc("fusion_score"), F.asc("_rank")], None,
     ).drop("_rank").withColumn("reranker_degraded", F.lit(True))
 
 

@@ -25,10 +25,6 @@ RELATION = (
     "evidence:string,confidence:double>"
 )
 RESPONSE = f"chunk_id string, entities array<{ENTITY}>, relations array<{RELATION}>"
-BATCH = (
-    f"chunks array<struct<chunk_id:string,entities:array<{ENTITY}>,"
-    f"relations:array<{RELATION}>>>"
-)
 
 
 @dataclass
@@ -78,44 +74,45 @@ def select_work(
 
 
 def form_batches(
-    chunks: DataFrame, settings: Settings = DEFAULTS, segment: int = 1024
+    chunks: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Request batches in document and index order, limited in chunks and characters.
 
-    The greedy rule needs order, so each task folds sorted runs. Long documents
-    are cut into segments of ``segment`` chunks that are folded apart; a batch
-    ends at the edge of a segment, and no chunk is left out.
+    The greedy rule needs order, so each task folds sorted runs of (document, index,
+    length); the texts stay where they are and join afterwards. The fold streams, so
+    a document of any length needs no more memory than one Arrow batch.
     """
     most_chunks, most_chars = settings.graph_batch_size, settings.graph_batch_chars
     columns = ["document_id", "chunk_index", "chunk_id", "content"]
     ordered = (
-        chunks.select(*columns)
-        .withColumn("segment", F.floor(F.col("chunk_index") / segment).cast("long"))
-        .repartition("document_id", "segment")
-        .sortWithinPartitions("document_id", "segment", "chunk_index")
+        chunks.select("document_id", "chunk_index", "chunk_id",
+                      F.length("content").cast("long").alias("chars"))
+        .repartition("document_id")
+        .sortWithinPartitions("document_id", "chunk_index", "chunk_id")
     )
     schema = T.StructType(
-        ordered.schema.fields + [T.StructField("batch_in_segment", T.LongType())]
+        ordered.schema.fields + [T.StructField("batch_in_document", T.LongType())]
     )
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, number, held, chars = None, 0, 0, 0
         for frame in frames:
             numbers = []
-            for doc, seg, text in zip(frame.document_id, frame.segment, frame.content):
-                if (doc, seg) != run:
-                    run, number, held, chars = (doc, seg), 0, 0, 0
-                elif held >= most_chunks or chars + len(text) > most_chars:
+            for doc, length in zip(frame.document_id, frame.chars.fillna(0)):
+                if doc != run:
+                    run, number, held, chars = doc, 0, 0, 0
+                elif held >= most_chunks or chars + length > most_chars:
                     number, held, chars = number + 1, 0, 0
-                held, chars = held + 1, chars + len(text)
+                held, chars = held + 1, chars + length
                 numbers.append(number)
-            yield frame.assign(batch_in_segment=numbers)
+            yield frame.assign(batch_in_document=numbers)
 
-    batched = ordered.mapInPandas(fold, schema)
-    return batched.withColumn(
-        "batch_id",
-        F.concat_ws("/", "document_id", F.col("segment"), F.col("batch_in_segment")),
+    batched = ordered.mapInPandas(fold, schema).select(
+        "chunk_id", "batch_in_document",
+        F.concat_ws("/", "document_id", F.col("batch_in_document")).alias("batch_id"),
     )
+    return chunks.select(*columns).join(batched, "chunk_id").select(
+        *columns, "batch_in_document", "batch_id")
 
 
 def requests(batches: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -213,7 +210,7 @@ def parse_responses(answers: DataFrame) -> DataFrame:
     shuffled.
     """
     parsed = _cleaned(answers).withColumn("ok", _is_object()).withColumn(
-        "_data", F.when(F.col("ok"), F.from_json("_clean", RESPONSE))
+        "_text", F.when(F.col("ok"), F.col("_clean"))
     )
     return _validated(parsed)
 
@@ -229,9 +226,41 @@ def _is_object():
     )
 
 
+def _kinds(element):
+    """Types of a JSON object's fields, such as ``OBJECT<name: STRING>``."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(element)), F.lit(""))
+
+
+def _entity_typed(element):
+    kinds = _kinds(element)
+    return ~(
+        kinds.rlike(r"[<,] ?(local_id|name|type): (?!STRING)")
+        | kinds.rlike(r"[<,] ?aliases: (?!ARRAY<(STRING|VOID)>)")
+        | kinds.rlike(r"[<,] ?description: (?!STRING|VOID)")
+    )
+
+
+def _confidence(element):
+    """A number or numeric text; the default only where the key is absent."""
+    given = F.try_variant_get(F.try_parse_json(element), "$.confidence", "double")
+    return F.when(_kinds(element).rlike(r"[<,] ?confidence: "), given).otherwise(F.lit(0.8))
+
+
+def _relation_typed(element):
+    return ~_kinds(element).rlike(r"[<,] ?(subject|predicate|object|evidence): (?!STRING)")
+
+
 def _validated(parsed: DataFrame) -> DataFrame:
-    good_entity = lambda e: (
+    """Check each answer's JSON object ``_text`` element by element: a field of a wrong
+    type drops its element."""
+    parsed = parsed.withColumn("_data", F.from_json("_text", RESPONSE)).withColumn(
+        "_elements", F.from_json("_text", "entities array<string>, relations array<string>")
+    )
+    entity_text = lambda i: F.get(F.col("_elements.entities"), i)
+    relation_text = lambda i: F.get(F.col("_elements.relations"), i)
+    good_entity = lambda e, i: (
         e["local_id"].isNotNull()
+        & _entity_typed(entity_text(i))
         & F.length(e["name"]).between(1, 255)
         & e["type"].isin(*ENTITY_TYPES)
     )
@@ -248,12 +277,12 @@ def _validated(parsed: DataFrame) -> DataFrame:
         ),
     )
     good_relation = lambda r: (
-        r["predicate"].isin(*PREDICATES)
+        r["_typed"] & r["predicate"].isin(*PREDICATES)
         & F.array_contains(F.col("_ids"), r["subject"])
         & F.array_contains(F.col("_ids"), r["object"])
         & (r["subject"] != r["object"])
         & (F.length(r["evidence"]) > 0)
-        & F.coalesce(r["confidence"], F.lit(0.8)).between(0.0, 1.0)
+        & r["confidence"].between(0.0, 1.0)
         & F.contains(F.col("_flat"), tx.squeeze(r["evidence"]))
     )
     return (
@@ -263,12 +292,14 @@ def _validated(parsed: DataFrame) -> DataFrame:
             "relations",
             F.transform(
                 F.filter(
-                    F.coalesce("_data.relations", F.array().cast(f"array<{RELATION}>")),
+                    F.transform(
+                        F.coalesce("_data.relations", F.array().cast(f"array<{RELATION}>")),
+                        lambda r, i: r.withField("confidence", _confidence(relation_text(i)))
+                        .withField("_typed", _relation_typed(relation_text(i))),
+                    ),
                     lambda r: F.coalesce(good_relation(r), F.lit(False)),
                 ),
-                lambda r: r.withField(
-                    "confidence", F.coalesce(r["confidence"], F.lit(0.8))
-                ),
+                lambda r: r.dropFields("_typed"),
             ),
         )
         .withColumn("entities", last_wins)
@@ -287,11 +318,12 @@ def parse_batch_responses(batch_answers: DataFrame, members: DataFrame) -> DataF
     of the batch fails.
     """
     parsed = _cleaned(batch_answers).withColumn(
-        "_chunks", F.when(_is_object(), F.from_json("_clean", BATCH)["chunks"])
+        "_chunks", F.when(_is_object(), F.from_json("_clean", "chunks array<string>")["chunks"])
     )
+    chunk_id = lambda text: F.get_json_object(text, "$.chunk_id")
     answered = F.array_sort(
         F.array_distinct(
-            F.filter(F.transform("_chunks", lambda c: c["chunk_id"]), lambda i: i.isNotNull())
+            F.filter(F.transform("_chunks", chunk_id), lambda i: i.isNotNull())
         )
     )
     gated = parsed.select(
@@ -303,8 +335,8 @@ def parse_batch_responses(batch_answers: DataFrame, members: DataFrame) -> DataF
     )
     # The last answer of equal ids wins, as in a dictionary.
     items = gated.where("batch_ok").select("batch_id", F.posexplode("_chunks").alias("_p", "_c"))
-    data = items.groupBy("batch_id", F.col("_c.chunk_id").alias("chunk_id")).agg(
-        F.max_by("_c", "_p").alias("_data")
+    data = items.groupBy("batch_id", chunk_id(F.col("_c")).alias("chunk_id")).agg(
+        F.max_by("_c", "_p").alias("_text")
     )
     joined = (
         members.join(gated.select("batch_id", "batch_ok"), "batch_id", "left")
@@ -453,6 +485,7 @@ def merge_graph(parsed: DataFrame, nfkc: bool = True) -> Graph:
             F.first("document_id").alias("document_id"),
             F.first("evidence").alias("quote"),
             F.min_by("confidence", "rpos").alias("confidence"),
+            F.max("confidence").alias("best_confidence"),
         )
     )
     relations = linked.groupBy("relation_id").agg(
@@ -538,7 +571,7 @@ def upsert(graph: Graph, parsed: DataFrame, nfkc: bool = True) -> Graph:
     evidence = old.evidence.unionByName(new.evidence)
     triples = old.relations.drop("confidence").unionByName(new.relations.drop("confidence"))
     relations = triples.dropDuplicates(["relation_id"]).join(
-        evidence.groupBy("relation_id").agg(F.max("confidence").alias("confidence")),
+        evidence.groupBy("relation_id").agg(F.max("best_confidence").alias("confidence")),
         "relation_id",
     )
     return clean_orphans(Graph(entities, aliases, mentions, relations, evidence))

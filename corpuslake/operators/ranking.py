@@ -69,19 +69,19 @@ def previous(
 
 
 def top_k(
-    df: DataFrame, keys: list[str], order: list[Column], k: int | Column, out: str = "rank"
+    df: DataFrame, keys: list[str], order: list[Column], k: int | Column | None,
+    out: str = "rank",
 ) -> DataFrame:
-    """First ``k`` rows per key with their 0-based rank.
+    """First ``k`` rows per key (all for None) with their 0-based rank.
 
     The row-number filter is recognised by the optimizer, which drops all but
     the first ``k`` rows of each key in every task before the shuffle.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn(out, F.row_number().over(window))
-        .where(F.col(out) <= k)
-        .withColumn(out, F.col(out) - 1)
-    )
+    numbered = df.withColumn(out, F.row_number().over(window))
+    if k is not None:
+        numbered = numbered.where(F.col(out) <= k)
+    return numbered.withColumn(out, F.col(out) - 1)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -102,16 +102,16 @@ def values_at_ranks(
     value: str,
     targets: DataFrame,
     ps: list[float],
-    sketch_from: int = 1_000_000,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """Exact order statistics: the value at 1-based rank ``target`` of each key.
 
     ``targets`` holds the keys, a ``slot`` (index into ``ps``) and the rank
     ``target``, which is within one place of ``ps[slot] * n``. Equal values are
-    counted before the shuffle. Keys above ``sketch_from`` rows are first
-    narrowed, by a mergeable sketch with a known error, to the few values around
-    the wanted rank; the values below are only counted.
+    counted before the shuffle. Every key is narrowed, by a mergeable sketch with a
+    known error, to the few values around the wanted rank; the values below are only
+    counted. Where those counts show that the range misses the rank, the key's whole
+    list of values is used.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count("*").alias("_n")
@@ -120,16 +120,14 @@ def values_at_ranks(
     edges = [q for p in ps for q in (max(0.0, p - slack), min(1.0, p + slack))]
     bounds = df.groupBy(*keys).agg(
         F.percentile_approx(value, edges, accuracy).alias("_q"),
-        F.count(value).alias("_rows"),
     )
-    big = F.col("_rows") > sketch_from
     limits = bounds.select(
         *keys,
         F.inline(F.array(*[
             F.struct(
                 F.lit(i).alias("slot"),
-                F.when(big & F.lit(p - slack > 0), F.col("_q")[2 * i]).alias("lo"),
-                F.when(big & F.lit(p + slack < 1), F.col("_q")[2 * i + 1]).alias("hi"),
+                F.when(F.lit(p - slack > 0), F.col("_q")[2 * i]).alias("lo"),
+                F.when(F.lit(p + slack < 1), F.col("_q")[2 * i + 1]).alias("hi"),
             )
             for i, p in enumerate(ps)
         ])),
@@ -138,18 +136,24 @@ def values_at_ranks(
     below = spread.groupBy(*keys, "slot").agg(
         F.coalesce(
             F.sum(F.when(F.col(value) < F.col("lo"), F.col("_n"))), F.lit(0)
-        ).alias("_below")
-    )
+        ).alias("_below"),
+        F.sum(F.when(
+            F.col("hi").isNull() | (F.col(value) <= F.col("hi")), F.col("_n")
+        )).alias("_upto"),
+    )
+    spread = spread.join(below, [*keys, "slot"])
+    missed = (F.col("_below") >= F.col("target")) | (F.col("_upto") < F.col("target"))
+    spread = spread.withColumn("_missed", F.coalesce(missed, F.lit(True)))
     near = spread.where(
-        (F.col("lo").isNull() | (F.col(value) >= F.col("lo")))
+        F.col("_missed")
+        | (F.col("lo").isNull() | (F.col(value) >= F.col("lo")))
         & (F.col("hi").isNull() | (F.col(value) <= F.col("hi")))
-    )
+    ).withColumn("_below", F.when(F.col("_missed"), 0).otherwise(F.col("_below")))
     running = Window.partitionBy(*keys, "slot").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
         near.withColumn("_running", F.sum("_n").over(running))
-        .join(below, [*keys, "slot"])
         .where(F.col("_running") + F.col("_below") >= F.col("target"))
         .groupBy(*keys, "slot")
         .agg(F.min(value).alias(value))

@@ -15,9 +15,12 @@ from pyspark.sql import types as T
 from corpuslake.config import DEFAULTS, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import ranking
+from corpuslake.session import cut_lineage
 
 # A block of query vectors held by every task; beyond it, several passes are made.
 QUERY_BLOCK_BYTES = 64 << 20
+# Scores held at a time: rows of an Arrow batch times queries.
+TILE_CELLS = 4_000_000
 
 
 def token_buckets(text, dims: int = DEFAULTS.embedding_dims):
@@ -96,6 +99,7 @@ def search(
     k: int = DEFAULTS.vector_k,
     id_column: str = "chunk_id",
     block_bytes: int = QUERY_BLOCK_BYTES,
+    tile_cells: int = TILE_CELLS,
 ) -> DataFrame:
     """Exact best ``k`` vectors of each query by dot product.
 
@@ -135,20 +139,23 @@ def search(
                 # In id order, so that the first of equal scores is the smallest id
                 # and the best rows of a batch hold its share of the final answer.
                 batch = batch.take(pc.sort_indices(batch.column(0)))
-                scores = np.round(_matrix(batch.column(1)) @ query_matrix.T, 6) + 0.0
-                keep = min(k, batch.num_rows)
-                floor = np.partition(scores, -keep, axis=0)[-keep]
-                above, level = scores > floor, scores == floor
-                fill = np.cumsum(level, axis=0) <= keep - above.sum(axis=0)
-                rows, cols = np.nonzero(above | (level & fill))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        query_ids.take(pa.array(cols)),
-                        batch.column(0).take(pa.array(rows)),
-                        pa.array(scores[rows, cols]),
-                    ],
-                    names=names,
-                )
+                matrix = _matrix(batch.column(1))
+                step = max(1, tile_cells // batch.num_rows)
+                for at in range(0, len(query_ids), step):
+                    scores = np.round(matrix @ query_matrix[at : at + step].T, 6) + 0.0
+                    keep = min(k, batch.num_rows)
+                    floor = np.partition(scores, -keep, axis=0)[-keep]
+                    above, level = scores > floor, scores == floor
+                    fill = np.cumsum(level, axis=0) <= keep - above.sum(axis=0)
+                    rows, cols = np.nonzero(above | (level & fill))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            query_ids.take(pa.array(cols + at)),
+                            batch.column(0).take(pa.array(rows)),
+                            pa.array(scores[rows, cols]),
+                        ],
+                        names=names,
+                    )
 
         return slim.mapInArrow(best, schema)
 
@@ -160,36 +167,64 @@ def search(
     )
 
 
+def band_codes(df: DataFrame, key: str, planes: np.ndarray, bands: int) -> DataFrame:
+    """``key``, band, code: signs of random projections, some bits for each band."""
+    bits = len(planes) // bands
+    weights = (1 << np.arange(bits)).astype(np.int64)
+    schema = T.StructType([
+        df.schema[key], T.StructField("band", T.IntegerType()), T.StructField("code", T.LongType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = _matrix(batch.column(1)) @ planes.T > 0
+            codes = signs.reshape(-1, bands, bits) @ weights
+            rows = np.repeat(np.arange(batch.num_rows), bands)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)),
+                 pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)),
+                 pa.array(codes.ravel())],
+                names=schema.names,
+            )
+
+    return df.select(key, "embedding").mapInArrow(run, schema)
+
+
 def search_lsh(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = DEFAULTS.vector_k,
     id_column: str = "chunk_id",
-    bucket_length: float = 1.0,
-    tables: int = 4,
-    max_distance: float = 1.2,
+    bands: int = 32,
+    bits: int = 5,
     seed: int = 7,
 ) -> DataFrame:
-    """Approximate variant: random-projection buckets instead of all products."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    as_points = lambda df, key: df.select(
-        F.col(key).alias("key"), array_to_vector(F.col("embedding")).alias("features")
-    )
-    left, right = as_points(queries, "query_id"), as_points(vectors, id_column)
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-        numHashTables=tables, seed=seed,
-    ).fit(right)
-    pairs = model.approxSimilarityJoin(left, right, max_distance, "distance").select(
-        F.col("datasetA.key").alias("query_id"),
-        F.col("datasetB.key").alias(id_column),
-        F.round("distance", 6).alias("distance"),
+    """Approximate variant: vectors that agree with the query in all signs of a band
+    are scored exactly. A query that finds fewer than ``k`` that way is searched in
+    all vectors, so that every query gets its ``k`` rows. More bits make smaller
+    buckets, more bands raise the recall.
+    """
+    dims = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    planes = np.random.default_rng(seed).normal(size=(bands * bits, dims))
+    asked = band_codes(queries, "query_id", planes, bands)
+    stored = band_codes(vectors, id_column, planes, bands)
+    pairs = asked.join(stored, ["band", "code"]).select("query_id", id_column).distinct()
+    both = pairs.join(
+        queries.select("query_id", F.col("embedding").alias("_q")), "query_id"
+    ).join(vectors.select(id_column, F.col("embedding").alias("_v")), id_column)
+    dot = F.aggregate(
+        F.zip_with("_q", "_v", lambda x, y: x.cast("double") * y.cast("double")),
+        F.lit(0.0), lambda s, x: s + x,
     )
-    return ranking.top_k(
-        pairs, ["query_id"], [F.asc("distance"), F.asc(id_column)], k
+    near = ranking.top_k(
+        both.select("query_id", id_column, (F.round(dot, 6) + 0.0).alias("score")),
+        ["query_id"], [F.desc("score"), F.asc(id_column)], k,
     )
+    near = cut_lineage(near, "near")
+    full = near.groupBy("query_id").count().where(F.col("count") >= k)
+    short = queries.join(full, "query_id", "left_anti")
+    rest = search(short, vectors, k, id_column)
+    return near.join(full, "query_id", "left_semi").unionByName(rest.select(*near.columns))
 
 
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:

@@ -196,7 +196,8 @@ class Store:
             return {"status": "error", "message": "ids differ from the current chunks",
                     "vector_count": report["actual_count"],
                     "chunk_count": report["expected_count"]}
-        self.activate(generation)
+        # The chunks are the same, and so is the corpus they came from.
+        self.activate(generation, self.pointer()["corpus_fingerprint"])
         return {"status": "completed", "active_generation": generation,
                 "vector_count": report["actual_count"]}
 

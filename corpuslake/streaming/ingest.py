@@ -54,16 +54,25 @@ class StreamTables:
 
     def documents(self, before: int | None = None, only: DataFrame | None = None,
                   on: str = "source_path") -> DataFrame:
-        """Newest row per path; ``only`` narrows the table before the shuffle."""
+        """Newest row per path; ``only`` narrows the table before the shuffle.
+
+        With another column than the path, all paths that ever had one of its values
+        are looked at, and those whose newest row still has one are given.
+        """
         rows = self._read("documents", self.DOCUMENTS)
         if before is not None:
             rows = rows.where(F.col("batch_id") < before)
-        if only is not None:
-            rows = rows.join(only.select(on).distinct(), on, "left_semi")
+        wanted = None if only is None else only.select(on).distinct()
+        if wanted is not None:
+            paths = rows.join(wanted, on, "left_semi").select("source_path").distinct()
+            rows = rows.join(paths, "source_path", "left_semi")
         rest = [name for name in self.DOCUMENTS.names if name != "source_path"]
-        return rows.groupBy("source_path").agg(
+        newest = rows.groupBy("source_path").agg(
             F.max_by(F.struct(*rest), "batch_id").alias("_row")
         ).select("source_path", *[F.col(f"_row.{name}").alias(name) for name in rest])
+        if wanted is None or on == "source_path":
+            return newest
+        return newest.join(wanted, on, "left_semi").select(*newest.columns)
 
     def chunks(self) -> DataFrame:
         """Chunks that the newest document rows point to."""

@@ -22,13 +22,13 @@ def test_position_and_running_sum_of_a_hot_key(spark):
         seen[key] = (place + 1, total + x)
 
 
-def test_percentiles_with_and_without_sketch(spark):
+def test_percentiles_with_a_fine_and_a_coarse_sketch(spark):
     import math
 
     rows, df = skewed(spark)
-    for limit in (10, 1_000_000):
+    for accuracy in (20, 10_000):
         got = {(r.key, r.p): r.x for r in ranking.nearest_rank_percentiles(
-            df, ["key"], "x", [0.5, 0.95], sketch_from=limit).collect()}
+            df, ["key"], "x", [0.5, 0.95], accuracy=accuracy).collect()}
         for key in {r[0] for r in rows}:
             values = sorted(r[2] for r in rows if r[0] == key)
             for p in (0.5, 0.95):
