@@ -60,10 +60,14 @@ def hashed(of_words: Column) -> Column:
 
 def window_hashes(hashes: Column) -> Column:
     """Hashes of all windows; a shorter text is one window, one without words none."""
-    last = F.size(hashes) - WORDS
-    full = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                       lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WORDS)]))
-    return F.when(F.size(hashes) > 0, full).otherwise(F.array().cast("array<bigint>"))
+    def of(h: Column) -> Column:
+        last = F.greatest(F.size(h) - WORDS, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last),
+                           lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)]))
+
+    # Bound to a lambda's variable, or each place would work out all hashes again.
+    own = F.filter(F.array(hashes), lambda h: F.size(h) > 0)
+    return F.flatten(F.transform(own, of))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
