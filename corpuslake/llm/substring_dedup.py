@@ -24,7 +24,6 @@ WINDOW = 50
 # Every difference modulo 31 is one of two members of this set.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-BROADCAST_PLACES = 2_000_000  # numbers that are broadcast up to so many, else shuffled
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -141,9 +140,8 @@ def cut(docs: DataFrame) -> DataFrame:
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Documents that have places; those few are broadcast, many are shuffled."""
-    n = places.agg(F.sum(F.size("at") + 8)).first()[0] or 0
-    return docs.join(F.broadcast(places) if n <= BROADCAST_PLACES else places.hint("shuffle_hash"), "doc_id")
+    """Documents that have places; the places are hashed, and the texts stream past them."""
+    return docs.join(places.hint("shuffle_hash"), "doc_id")
 
 
 def dedup(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
@@ -160,10 +158,10 @@ def dedup(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     leads = work.keep(long_rows.groupBy("sha256").agg(
         F.min("doc_id").alias("lead"), F.first("whole").alias("whole")), "leads")
 
-    # One shuffle serves both sides; a hot anchor is only counted and compared, never gathered.
+    # Of a written table one shuffle serves both sides; a hot anchor is only counted and compared, never gathered.
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     n = max(int(n), (rows.agg(F.sum("n_words")).first()[0] or 0) // 5_000_000)
-    found = anchors(docs).repartition(n, "anchor")
+    found = work.keep(anchors(docs), "anchors").where("anchor is not null").repartition(n, "anchor")
     shared = found.groupBy("anchor").agg(
         F.min("whole").alias("low"), F.max("whole").alias("high"), F.max("pos").alias("last"),
     ).where("low <> high and last >= 0").select("anchor")
@@ -172,9 +170,11 @@ def dedup(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     shared = shared.join(leads, "whole").select(F.col("lead").alias("doc_id"), "whole", "at")
     shared = work.keep(shared, "shared")
     del found
-    work.drop()
+    work.drop("anchors")
 
-    found = windows(with_places(docs, shared)).repartition(n, "high")
+    found = work.keep(windows(with_places(docs, shared)), "windows")
+    work.drop("shared")
+    found = found.where("high is not null and low is not null and doc_id is not null").repartition(n, "high")
     least = found.groupBy("high", "low").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
         F.max("pos").alias("last"), F.max("whole").alias("any"),
@@ -182,7 +182,7 @@ def dedup(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     taken = found.join(least.hint("shuffle_hash"), ["high", "low"]).where("least < doc_id")
     taken = work.keep(taken.groupBy("doc_id", "whole").agg(F.collect_set("pos").alias("at")), "taken")
     del found
-    work.drop("shared")
+    work.drop("windows")
 
     less = work.keep(cut(with_places(docs, taken)), "less")
     work.drop("taken")
