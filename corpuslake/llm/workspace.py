@@ -21,6 +21,7 @@ class Workspace:
         self.spark, self.base = spark, shared_dir(spark, purpose)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.free()
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
@@ -29,9 +30,13 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        # Spark frees the shuffle files of collected plans only; ask for it between the stages.
+        self.free()
+
+    def free(self) -> None:
+        """Spark deletes the shuffle files of plans that were collected as garbage, and only
+        those; ask for that between the stages, so that they do not add up on the disks."""
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def near(small: DataFrame, limit: int = 500_000) -> DataFrame:
