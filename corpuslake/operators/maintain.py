@@ -222,7 +222,7 @@ def mark_failures(
     had_rows = old_chunks.select("document_id").distinct().withColumn("_had", F.lit(True))
     failed = failures.select("document_id", F.col("error").alias("_error"))
     message = F.substring(
-        F.concat(F.lit("Last indexing attempt failed: "), F.col("_error")), 1, 1000
+        F.concat(F.lit("Not indexed: "), F.col("_error")), 1, 1000
     )
     return (
         documents.join(failed, "document_id", "left").join(had_rows, "document_id", "left")
@@ -317,7 +317,7 @@ def sync(
     readable = changed.where(~tx.is_blank(F.col("text")))
     failures = changed.where(tx.is_blank(F.col("text"))).select(
         "document_id", "source_path", "file_hash", "file_size",
-        F.concat(F.lit("No readable content: "), F.col("source_path")).alias("error"),
+        F.concat(F.lit("empty file "), F.col("source_path")).alias("error"),
     )
     fresh = chunker(readable)
     gone = changes.where("change = 'deleted'").select("document_id")
@@ -342,7 +342,7 @@ def sync(
         F.lit(settings.embedding_provider).alias("embedding_provider"),
         F.lit(settings.embedding_model).alias("embedding_model"),
         F.substring(
-            F.concat(F.lit("Last indexing attempt failed: "), F.col("error")), 1, 1000
+            F.concat(F.lit("Not indexed: "), F.col("error")), 1, 1000
         ).alias("error_message"),
     )
     kept = stored.join(indexed, "document_id", "left_anti")

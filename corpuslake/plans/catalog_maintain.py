@@ -93,7 +93,7 @@ def m4(k):
 
 @query("m5_mark_failures", """
 SELECT d.document_id, CASE WHEN lang <> 'fr' THEN d.status WHEN s.document_id IS NOT NULL THEN 'ready' ELSE 'failed' END AS status,
-       CASE WHEN lang = 'fr' THEN substr('Last indexing attempt failed: ' || text, 1, 1000) END AS error_message
+       CASE WHEN lang = 'fr' THEN substr('Not indexed: ' || text, 1, 1000) END AS error_message
 FROM kdocs d LEFT JOIN kstored s USING (document_id)""")
 def m5(k):
     docs = k.documents().withColumn("error_message", F.lit(None).cast("string"))

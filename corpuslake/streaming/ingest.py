@@ -141,7 +141,7 @@ class StreamTables:
             F.lit(self.settings.embedding_provider).alias("embedding_provider"),
             F.lit(self.settings.embedding_model).alias("embedding_model"),
             F.when(blank, F.concat(
-                F.lit("Last indexing attempt failed: No readable content: "),
+                F.lit("Not indexed: empty file "),
                 F.col("source_path"),
             )).alias("error_message"),
             F.when(blank, F.col("_old_batch")).otherwise(F.lit(batch).cast("long"))
