@@ -9,6 +9,11 @@ from corpuslake.config import DEFAULTS, ROLE_NAMES, Settings
 from corpuslake.operators import ranking
 
 
+def completed(messages: DataFrame) -> DataFrame:
+    """Only these messages enter a history or a prompt."""
+    return messages.where(F.col("status") == "completed")
+
+
 def messages_for(
     requests: DataFrame, conversations: DataFrame, messages: DataFrame, limit: int
 ) -> DataFrame:
@@ -18,7 +23,7 @@ def messages_for(
     somebody else's conversation yields nothing.
     """
     owned = requests.distinct().join(conversations, ["conversation_id", "user_id"], "left_semi")
-    mine = messages.where(F.col("status") == "completed").join(owned, "conversation_id")
+    mine = completed(messages).join(owned, "conversation_id")
     return ranking.top_k(
         mine, ["user_id", "conversation_id"], [F.desc("turn")], limit, out="age"
     )
@@ -43,7 +48,7 @@ def conversation_detail(
 def trim(
     messages: DataFrame, settings: Settings = DEFAULTS, exclusive: bool = False
 ) -> DataFrame:
-    """Last messages within the character budget, newest first.
+    """Last completed messages within the character budget, newest first.
 
     Each text counts and is cut to at most the budget. The running sum never
     falls, so filtering it equals stopping at the first overflow. With
@@ -51,7 +56,7 @@ def trim(
     """
     limit = settings.max_history_messages + int(exclusive)
     recent = ranking.top_k(
-        messages, ["conversation_id"], [F.desc("turn")], limit, out="age"
+        completed(messages), ["conversation_id"], [F.desc("turn")], limit, out="age"
     )
     if exclusive:
         recent = recent.where("age > 0")

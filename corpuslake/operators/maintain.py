@@ -58,14 +58,17 @@ def question_set_fingerprint(questions: DataFrame) -> DataFrame:
 
 def is_stale(file_hash, settings: Settings = DEFAULTS):
     """Does a stored document need indexing again?"""
-    return (
-        ~F.col("status").eqNullSafe("ready")
-        | (F.coalesce(F.col("error_message"), F.lit("")) != "")
-        | ~F.col("file_hash").eqNullSafe(file_hash)
-        | ~F.col("index_schema_version").eqNullSafe(F.lit(settings.index_schema_version))
-        | ~F.col("embedding_provider").eqNullSafe(F.lit(settings.embedding_provider))
-        | ~F.col("embedding_model").eqNullSafe(F.lit(settings.embedding_model))
-    )
+    wanted = {
+        "status": F.lit("ready"),
+        "error_message": F.lit(""),
+        "file_hash": file_hash,
+        **{name: F.lit(getattr(settings, name)) for name in (
+            "index_schema_version", "embedding_provider", "embedding_model")},
+    }
+    stored = {name: F.col(name) for name in wanted}
+    stored["error_message"] = F.coalesce(F.col("error_message"), F.lit(""))
+    as_text = lambda row: F.struct(*[v.cast("string").alias(n) for n, v in row.items()])
+    return ~as_text(stored).eqNullSafe(as_text(wanted))
 
 
 def classify(

@@ -367,10 +367,12 @@ def f3(k):
 
 @query("f4_recent_messages", """
 SELECT conversation_id, turn FROM (
-  SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS rn FROM kmessages) WHERE rn <= 10""")
+  SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS rn FROM kmessages
+  WHERE status = 'completed') WHERE rn <= 10""")
 def f4(k):
     return ranking.top_k(
-        k.messages(), ["conversation_id"], [F.desc("turn")], DEFAULTS.max_history_messages
+        history.completed(k.messages()), ["conversation_id"], [F.desc("turn")],
+        DEFAULTS.max_history_messages
     ).select("conversation_id", "turn")
 
 

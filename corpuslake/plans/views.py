@@ -483,7 +483,8 @@ VIEWS["ktrim"] = """
 SELECT * FROM (
   SELECT conversation_id, turn, role, substr(text, 1, 3000) AS text,
          sum(least(length(text), 3000)) OVER (PARTITION BY conversation_id ORDER BY turn DESC)::BIGINT AS running_chars
-  FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS rn FROM kmessages)
+  FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS rn FROM kmessages
+        WHERE status = 'completed')
   WHERE rn <= 10) WHERE running_chars <= 3000"""
 VIEWS["khist"] = """
 SELECT conversation_id, string_agg(CASE role WHEN 'user' THEN '用户' WHEN 'assistant' THEN '助手' ELSE role END
