@@ -44,12 +44,24 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, "AKIA"),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+", 0, 16),
 )
+# A key runs to its END line, before any other BEGIN; without one, over what follows of its headers
+# and base64: runs of 16 characters and more, short ones that are padded or end a line, and one more
+# short run after a long one.
+KEY_GAP = r"""(?:[\s>|#*]|\\[nrt]?|["'][\s,+.\\]*+["'])"""
+KEY_BODY = (
+    rf"(?:{KEY_GAP}*+(?:(?:Proc-Type|DEK-Info):[\x20\t]*+\S++|[A-Za-z0-9+/]{{16,}}+=*+|[A-Za-z0-9+/]++=++|"
+    r"""[A-Za-z0-9+/]++(?=[\x20\t]*+(?:$|[\r\n"']|\\[nr]))))*+"""
+    rf"(?:(?<=[A-Za-z0-9+/]{{16}}){KEY_GAP}++[A-Za-z0-9+/]++)?+"
+)
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----(?:BEGIN|END)\x20))*+-----END [A-Z ]*PRIVATE KEY-----|"
+         + KEY_BODY + ")", 0, 1, "PRIVATE KEY-----", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 20, "eyJ"),
     Rule("bearer", r"Bearer [A-Za-z0-9._~+/-]{20,}=*", 0, 20, "Bearer "),
     Rule("forge", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", 0, 20, "_"),
-    Rule("userinfo", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", 0, 8, "@"),
+    # The user may be empty; a password goes on to the last @ of its word.
+    Rule("userinfo", r"""(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]++://[^\s/:@]*+:[^\s/@]{3,}+@(?:[^\s/:@"'<>,;&|]++@)*+""",
+         0, 8, "@", version=2),
 )
 RULES = BASE + ADDED
 

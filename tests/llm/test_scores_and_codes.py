@@ -111,6 +111,34 @@ def test_redaction(spark):
     assert got == {1: "a [SECRET] b", 2: "plain", 3: None}
 
 
+def test_masked_texts_hold_nothing_of_keys_and_passwords(spark):
+    rng = random.Random(5)
+    body = ["".join(rng.choice("abcdefghABCDEFGH0123456789+/") for _ in range(64)) for _ in range(20)] + ["Zk9+"]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n"
+    long = "x" * 40 + "Y" * 40
+    texts = {
+        1: (f"a {begin}\n" + "\n".join(body) + f"\n{end} b", "a [SECRET] b"),
+        2: (f"a {begin}\n{head}" + "\r\n".join(body) + f"\r\n{end}\nb", "a [SECRET]\nb"),
+        3: (f"a {begin}\n" + "\n".join(body) + "\n\nb is not of it", "a [SECRET]\n\nb is not of it"),
+        4: (f'k="{begin}' + "\\n" + "\\n".join(body) + '"; b', 'k="[SECRET]"; b'),
+        5: (f"{begin} " + " ".join(body[:-1]) + " Zg== b c", "[SECRET] b c"),
+        6: (f"{begin}\n" + "\n".join(body) + f"\n-- b - {begin}\n" + "\n".join(body) + f"\n{end}", "[SECRET]\n-- b - [SECRET]"),
+        7: (f"a https://bot:{long}@host/x b", "a [SECRET]host/x b"),
+        8: ("redis://:pass0word@host", "[SECRET]host"),
+        9: (f"https://{long}:{long}@host", "[SECRET]host"),
+        10: ("averyveryveryverylongscheme+ssh://u:pass0word@host", "[SECRET]host"),
+        11: ("http://h.org:80/a@b http://h.org/:abcd@x", "http://h.org:80/a@b http://h.org/:abcd@x"),
+        12: (f"{begin}\n" + "\n".join(body * 3000), "[SECRET]"),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    from corpuslake.llm.workspace import Workspace
+    found = secret_scan.scan(df, f"{Workspace(spark, 'test').base}/ledger").join(df, "doc_id")
+    got = {r.doc_id: r.t for r in found.select("doc_id", secret_scan.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {i: t for i, (_, t) in texts.items()}
+    assert {r.name for r in secret_scan.RULES if r.version == 2} == {"pem@2", "userinfo@2"}
+
+
 def judge(url):
     host = path = ""
     if url is not None and "://" in url:
