@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a question with other figures or
 persons keeps its template. Windows of a template are hashed and joined between benchmark and
-documents; where enough windows of an item meet in a document, the slots are compared: each slot of
-the item has to be filled by one value throughout.
+documents; where enough windows of an item meet in a document, the slots of each are compared at its
+own place: each slot of the item has to be filled by one value throughout.
 """
 
 from __future__ import annotations
@@ -88,14 +88,72 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         "item_id", "item_pos", "window", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("all")).alias("n_windows"))
 
 
+def bare(word: Column) -> Column:
+    return F.lower(F.translate(word, "\x01\x02\x03", ""))
+
+
+def places() -> Column:
+    """Each window of the item at each of its places in the document: item_pos, offset, window, and
+    its slots (what the item has, what the document has there)."""
+    def slots(pos: Column, offset: Column) -> Column:
+        both = F.array(*[F.struct(F.get("asked", pos + k).alias("asked"), F.get("said", pos + offset + k).alias("said"))
+                         for k in range(WORDS)])
+        return F.filter(both, lambda x: F.substring(x["asked"], 1, 1).isin("\x01", "\x02", "\x03"))
+
+    return F.flatten(F.transform("hits", lambda h: F.transform(h["w"], lambda x: F.struct(
+        x["item_pos"].alias("item_pos"), h["offset"].alias("offset"), x["window"].alias("window"),
+        slots(x["item_pos"], h["offset"]).alias("slots")))))
+
+
+def verbatim() -> Column:
+    """The item's words stand in the document one after the other."""
+    def there(offset: Column) -> Column:
+        own = F.slice("said", offset + 1, F.size("asked"))
+        return F.transform("asked", bare) == F.transform(own, bare)
+
+    return F.exists("hits", lambda h: F.when(h["offset"] >= 0, there(F.greatest(h["offset"], F.lit(0)))).otherwise(False))
+
+
+def as_asked() -> Column:
+    """All shared windows occur with the item's own values."""
+    same = F.filter("places", lambda x: ~F.exists(x["slots"], lambda y: ~bare(y["asked"]).eqNullSafe(bare(y["said"]))))
+    positions = lambda p: F.array_distinct(F.transform(p, lambda x: x["item_pos"]))
+    return F.size(positions(same)) == F.size(positions(F.col("places")))
+
+
+def one_value() -> Column:
+    """Around some offset, enough windows (each at its place next to that offset) fill every slot of
+    the item by one value."""
+    def first_places(at: Column) -> Column:
+        near_by = F.array_sort(F.transform(
+            F.filter("places", lambda x: F.abs(x["offset"] - at) < F.size("asked")),
+            lambda x: F.struct(x["item_pos"].alias("item_pos"), F.abs(x["offset"] - at).alias("away"),
+                               x["window"].alias("window"), x["slots"].alias("slots"))))
+        return F.flatten(F.transform(F.array(near_by), lambda own: F.filter(
+            own, lambda x, i: (i == 0) | (F.get(own, i - 1)["item_pos"] != x["item_pos"]))))
+
+    def told(own: Column) -> Column:
+        slots = F.array_distinct(F.flatten(F.transform(own, lambda x: x["slots"])))
+        enough = F.size(F.array_distinct(F.transform(own, lambda x: x["window"]))) >= SHARE * F.col("n_windows")
+        return enough & (F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda x: x["asked"]))))
+
+    # The offsets with the most windows first: the search ends at the first that fits.
+    offsets = F.transform(F.sort_array(F.transform("hits", lambda h: F.struct(
+        F.size(h["w"]).alias("n"), h["offset"].alias("offset"))), False), lambda x: x["offset"])
+    return F.exists(offsets, lambda at: F.exists(F.array(
+        first_places(at), F.filter("places", lambda x: x["offset"] == at).cast(
+            "array<struct<item_pos:int,away:int,window:bigint,slots:array<struct<asked:string,said:string>>>>")), told))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row per document text and benchmark item that it leaks: doc_id, text_hash, item_id,
     n_windows, n_shared, share, verbatim (the words are the item's), consistent.
 
     Null and empty texts leak nothing and items without words are leaked by nothing; rows without
     doc_id or item_id take no part. Equal texts of one doc_id give one row. A leak holds ``SHARE`` of
-    the item's windows; it is verbatim, or every slot of the item has one value throughout. Other
-    columns are dropped.
+    the item's windows; it is verbatim, or all shared windows also occur with the item's own values,
+    or around one place in the document every slot of the item has one value throughout the windows,
+    each compared where it is (words may be inserted or missing in between). Other columns are dropped.
     """
     work = work or Workspace(docs.sparkSession, "leaks")
     docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -104,32 +162,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None)
         window_hashes(hashed(template(F.col("text"))))).alias("pos", "window"))
     hits = seen.join(near(items, BROADCAST_WINDOWS), "window").groupBy(
         "doc_id", "text_hash", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("offset"),
-    ).agg(F.collect_set("window").alias("w"))  # an item's windows at most
+    ).agg(F.collect_set(F.struct("window", "item_pos")).alias("w"))  # an item's windows at most
+    own = F.array_distinct(F.transform(F.flatten(F.collect_list("w")), lambda x: x["window"]))
     found = hits.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("w")))).alias("n_shared"),
-        F.max(F.struct(F.size("w").alias("n"), (-F.col("offset")).alias("back"))).alias("best"),
+        F.size(own).alias("n_shared"), F.collect_list(F.struct("offset", "w")).alias("hits"),
     ).where(F.col("n_shared") >= SHARE * F.col("n_windows"))
-    found = work.keep(found.select("doc_id", "text_hash", "item_id", "n_windows", "n_shared",
-                                   (-F.col("best.back")).alias("offset")), "found")
+    found = work.keep(found, "found")
 
     asked = benchmark.where("item_id is not null").select("item_id", words(marked(F.col("text"))).alias("asked"))
-    pairs = docs.join(near(found), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "item_id"])
+    # Only the few texts with enough windows are shuffled.
+    keys = work.keep(found.select("doc_id", "text_hash").distinct(), "keys")
+    picked = docs.join(near(keys), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    pairs = picked.join(found.hint("shuffle_hash"), ["doc_id", "text_hash"])
     pairs = pairs.withColumn("said", words(marked(F.col("text")))).drop("text").join(asked, "item_id")
-    # Words before the start of the document are missing: pad them with nulls.
-    said = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-F.col("offset"), F.lit(0))),
-                    F.slice("said", F.greatest(F.col("offset"), F.lit(0)) + 1, F.size("asked")))
-    both = F.filter(F.arrays_zip(F.col("asked"), F.slice(said, 1, F.size("asked")).alias("said")),
-                    lambda x: x["asked"].isNotNull())
-    slot = F.filter("both", lambda x: F.substring(x["asked"], 1, 1).isin("\x01", "\x02", "\x03"))
-    pairs = pairs.withColumn("both", both).withColumn("slots", slot)
-    one_value = F.size(F.array_distinct("slots")) == F.size(
-        F.array_distinct(F.transform("slots", lambda x: x["asked"])))
-    bare = lambda w: F.lower(F.translate(w, "\x01\x02\x03", ""))
-    verbatim = ~F.exists("both", lambda x: ~bare(x["asked"]).eqNullSafe(bare(x["said"])))
+    # Written, or the filter on the result would work out the places anew at each of its steps.
+    pairs = work.keep(pairs.withColumn("places", places()).withColumn("verbatim", verbatim()).drop("said"), "pairs")
     return pairs.select(
         "doc_id", "text_hash", "item_id", F.col("n_windows").cast("long"), F.col("n_shared").cast("long"),
-        (F.col("n_shared") / F.col("n_windows")).alias("share"), verbatim.alias("verbatim"),
-        (verbatim | one_value).alias("consistent"),
+        (F.col("n_shared") / F.col("n_windows")).alias("share"), "verbatim",
+        (F.col("verbatim") | as_asked() | one_value()).alias("consistent"),
     ).where("consistent")
 
 

@@ -40,3 +40,28 @@ def test_short_items_empty_tables_and_extra_columns(spark):
     b = spark.createDataFrame([(2, "q r s", 1)], "item_id long, text string, doc_id long")
     assert dc.leaks(d, b).count() == 0
     assert dc.without_leaks(d, b).collect() == d.collect()
+
+
+def test_slots_are_compared_at_each_windows_own_place(spark):
+    plain = [f"v{i}" for i in range(60)]
+    def item(who, n, more=(), last=None):  # noqa: E306
+        w = list(plain)
+        w[2], w[5], w[54], w[57] = who, str(n), last or who, str(n)
+        for at, word in sorted(more, reverse=True):
+            w[at:at] = [word] if word else []
+            if not word:
+                del w[at]
+        return " ".join(w)
+
+    pad = "before it "
+    docs = [
+        (1, pad + item("Alice", 12, [(30, "extra")])), (2, item("Alice", 12, [(30, None)])),
+        (3, item("Carol", 35, [(30, "extra")]) + " after"), (4, pad + item("Carol", 35, [(20, "x"), (40, None)])),
+        (5, item("Carol", 35, [(30, "extra")], last="Dave")), (6, item("Alice", 12, last="Dave")),
+        (7, item("Carol", 35) + " " + item("Alice", 12)), (8, item("Carol", 35, [(30, "a")]) + " " + item("Erin", 7, [(31, None)])),
+        (9, item("Carol", 35, last="Dave") + " between " + item("Erin", 7)),
+    ]
+    got = answer(spark, docs, [(1, item("Alice", 12))])
+    assert {d for d, _ in got} == {1, 2, 3, 4, 7, 8, 9}
+    assert {d for (d, _), r in got.items() if r.verbatim} == {7}
+    assert all(0.8 <= r.share <= 1 for r in got.values())
