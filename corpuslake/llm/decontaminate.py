@@ -4,11 +4,16 @@ Numbers, names and units become typed placeholders, so that a question with othe
 persons keeps its template. Windows of a template are hashed and joined between benchmark and
 documents; where enough windows of an item meet in a document, the slots of each are compared at its
 own place: each slot of the item has to be filled by one value throughout.
+
+Templates are only made of documents that hold a literal word pair of an item. A leak misses at most so
+many of an item's windows that it holds at least one of any larger set of them; such a set is chosen
+for each item, and of each window in it one pair of words that are no placeholders. Every leak holds
+one of these pairs as it stands, so that no leak is passed over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.llm.registry import query, table
@@ -19,39 +24,57 @@ SHARE = 0.8  # of an item's distinct windows that a leak contains
 LITERALS = 2  # words of a window that are no placeholders; an item without such windows uses all
 BROADCAST_WINDOWS = 1_000_000  # windows of the benchmark that are broadcast, beyond it shuffled
 
-# What counts as a unit after a number, and the placeholders.
+# What counts as a unit after a number, number words, and the placeholders.
 UNITS = (
     "mm|cm|m|km|in|ft|yd|mi|mg|g|kg|lb|lbs|oz|ml|l|s|sec|min|h|hr|hrs|hour|hours|minute|minutes|second|seconds|"
     "day|days|week|weeks|month|months|year|years|meter|meters|metre|metres|kilometers|miles|mile|feet|inches|"
     "dollar|dollars|cent|cents|euro|euros|usd|eur|percent|degrees"
 )
+NUMBER_WORDS = (
+    "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|"
+    "seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million"
+)
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
+BEFORE, AFTER = r"[(\[{\"'“‘„«]*", r"[)\]}.,;:!?\"'”’»…]*"  # punctuation that belongs to no slot
+IS_NUMBER = (rf"^{BEFORE}(?:[$€£]?[+-]?\d[\d.,:/]*(?i:{UNITS})?[%$€£]?"
+             rf"|(?i:{NUMBER_WORDS})(?:-(?i:{NUMBER_WORDS}))*){AFTER}$")
+IS_UNIT = rf"^(?i:{UNITS}){AFTER}$"
+IS_NAME = rf"^{BEFORE}\p{{Lu}}[\p{{Ll}}'’]*\p{{Ll}}(?:['’]s)?{AFTER}$"
+SLOT_EDGE = rf"^{BEFORE}|(?:['’]s)?{AFTER}$"
 
 
 def words(text: Column) -> Column:
-    """Words of a text (runs of anything but ASCII white space); none for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
-    return F.filter(parts, lambda w: w != "")
+    """Words of a text (runs of anything but ASCII white space and the marks 1 to 3); none for null."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x01-\x03\x09-\x0D\x20]+"), lambda w: w != "")
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once (a lambda's variable)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def marked(text: Column) -> Column:
-    """Text in which a slot begins with a control character: numbers (1), units that follow a
-    number (2), and words with a capital inside a sentence (3). What is in the slot stays."""
-    number = r"(?<![^\x20\x09-\x0D(\[$€£])([$€£]?[+-]?\d[\d.,:/]*%?)(?=[\x20\x09-\x0D,.;:!?)\]]|$)"
-    unit = rf"(\x01[^\x20\x09-\x0D]*[\x20\x09-\x0D]+)((?i:{UNITS}))(?![^\x20\x09-\x0D,.;:!?)\]])"
-    name = r"(?<=[^\x20\x09-\x0D.!?:][\x20\x09-\x0D]{1,3})(\p{Lu}\p{Ll}+(?:['’]s)?)"
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
-    slotted = F.regexp_replace(F.regexp_replace(text, number, "\x01$1"), unit, "$1\x02$2")
-    return F.regexp_replace(slotted, name, "\x03$1")
+    """Words of a text; a slot begins with a control character: numbers and number words (1), units
+    after a number (2), and words with a capital (3), wherever they stand in a sentence. What is in the
+    slot stays; other words are lower-cased. How many blanks part two words does not matter."""
+    def mark(own: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            after_number = (i > 0) & F.coalesce(F.rlike(F.get(own, i - 1), F.lit(IS_NUMBER)), F.lit(False))
+            return (F.when(F.rlike(w, F.lit(IS_NUMBER)), F.concat(F.lit("\x01"), w))
+                    .when(F.rlike(w, F.lit(IS_UNIT)) & after_number, F.concat(F.lit("\x02"), w))
+                    .when(F.rlike(w, F.lit(IS_NAME)), F.concat(F.lit("\x03"), w)).otherwise(F.lower(w)))
+        return F.transform(own, one)
 
+    return once(words(text), mark)
 
-def template(text: Column) -> Column:
-    """Template words of a text: placeholders, and all other words in lower case. The whole text
-    is rewritten at once, then cut."""
-    flat = marked(text)
-    for mark, name in (("\x01", NUMBER), ("\x02", UNIT), ("\x03", NAME)):
-        flat = F.regexp_replace(flat, mark + r"[^\x20\x09-\x0D]*", name)
-    return words(F.lower(flat))
+
+def template(of_marked: Column) -> Column:
+    """Template words: placeholders, and all other words in lower case."""
+    def one(w: Column) -> Column:
+        kind = F.substring(w, 1, 1)
+        return F.when(kind == "\x01", NUMBER).when(kind == "\x02", UNIT).when(kind == "\x03", NAME).otherwise(w)
+
+    return F.transform(of_marked, one)
 
 
 def hashed(of_words: Column) -> Column:
@@ -62,43 +85,90 @@ def window_hashes(hashes: Column) -> Column:
     """Hashes of all windows; a shorter text is one window, one without words none."""
     def of(h: Column) -> Column:
         last = F.greatest(F.size(h) - WORDS, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last),
-                           lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)]))
+        return F.when(F.size(h) > 0, F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)]))).otherwise(
+            F.array().cast("array<bigint>"))
 
-    # Bound to a lambda's variable, or each place would work out all hashes again.
-    own = F.filter(F.array(hashes), lambda h: F.size(h) > 0)
-    return F.flatten(F.transform(own, of))
+    return once(hashes, of)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_pos, window, n_windows (distinct windows that count for the item). The first
-    one does not count if it opens with a capital: inside a sentence that word would be a name."""
-    own = benchmark.where("item_id is not null").select("item_id", template(F.col("text")).alias("t"),
-                                                            F.rlike("text", F.lit(r"^\s*\p{Lu}")).alias("opens"))
-    own = own.select("item_id", "t", "opens", window_hashes(hashed(F.col("t"))).alias("w"))
-    rows = own.select("item_id", "t", "opens", F.posexplode("w").alias("item_pos", "window"))
-    slots = F.size(F.filter(F.slice("t", F.col("item_pos") + 1, WORDS),
-                            lambda w: w.isin(NUMBER, UNIT, NAME)))
-    rows = rows.select("item_id", "item_pos", "window", (
-        (slots <= WORDS - LITERALS) & ~(F.col("opens") & (F.col("item_pos") == 0))).alias("told"))
+    """item_id, item_pos, window, n_windows (distinct windows that count for the item), and a literal
+    pair of the window: the hash of its first two words that are no placeholders next to each other, else of
+    the first two at all, else of the only one (pair; null if all are placeholders), how far apart
+    they are (apart, 0 for a single word), and how long (length)."""
+    own = benchmark.where("item_id is not null").select("item_id", template(marked(F.col("text"))).alias("t"))
+    own = own.select("item_id", "t", window_hashes(hashed(F.col("t"))).alias("w"))
+    rows = own.select("item_id", F.posexplode("w").alias("item_pos", "window"), "t")
+    rows = rows.withColumn("own", F.slice("t", F.col("item_pos") + 1, WORDS))
+    literal = lambda w: ~w.isin(NUMBER, UNIT, NAME)
+    options = []
+    for apart in [*range(1, WORDS), 0]:
+        for k in range(WORDS - apart):
+            a, b = F.get("own", F.lit(k)), F.get("own", F.lit(k + apart))
+            options.append(F.when(literal(a) & literal(b), F.struct(
+                pair_of(F.xxhash64(a), F.xxhash64(b), apart).alias("pair"), F.lit(apart).alias("apart"),
+                (F.length(a) + F.length(b)).alias("length"))))
+    rows = rows.withColumn("p", F.coalesce(*options)).withColumn(
+        "told", F.size(F.filter("own", lambda w: ~literal(w))) <= WORDS - LITERALS)
     sizes = rows.groupBy("item_id").agg(
         F.count_distinct(F.when(F.col("told"), F.col("window"))).alias("n"),
         F.count_distinct("window").alias("all"))
     return rows.join(sizes, "item_id").where("told or n = 0").select(
-        "item_id", "item_pos", "window", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("all")).alias("n_windows"))
+        "item_id", "item_pos", "window", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("all")).alias("n_windows"),
+        "p.pair", "p.apart", "p.length")
+
+
+def pair_of(a: Column, b: Column, apart: int) -> Column:
+    return F.xxhash64(a, b, F.lit(apart))
+
+
+def literal_pairs(items: DataFrame) -> DataFrame:
+    """pair, apart: of each item as many windows as no leak can miss, those with neighbouring and
+    long literal words first. A null pair stands for windows that any text may hold."""
+    distinct = items.groupBy("item_id", "window", "n_windows").agg(
+        F.min(F.struct(F.coalesce(F.col("apart") + (F.col("apart") == 0).cast("int") * WORDS, F.lit(2 * WORDS)).alias("far"),
+                       (-F.col("length")).alias("short"), "pair", "apart")).alias("p"))
+    order = Window.partitionBy("item_id").orderBy("p", "window")  # an item's windows
+    needed = F.col("n_windows") - F.ceil(F.lit(SHARE) * F.col("n_windows")) + 1
+    return distinct.withColumn("place", F.row_number().over(order)).where(F.col("place") <= needed).select(
+        "p.pair", "p.apart").distinct()
+
+
+def suspects(docs: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
+    """Documents (doc_id, text_hash) that hold one of the pairs; all of them if a pair is null."""
+    kinds = [r[0] for r in pairs.select("apart").distinct().orderBy("apart").collect()]  # at most 0 to 4 and null
+    if None in kinds:
+        return work.keep(docs.select("doc_id", "text_hash").distinct(), "suspects")
+    found = [c for c in kinds if c is not None]
+
+    def of(h: Column) -> Column:
+        def all_pairs(apart: int) -> Column:
+            return F.transform(h, lambda x, i: pair_of(x, F.get(h, i + apart), apart))
+
+        return F.flatten(F.array(*[all_pairs(a) for a in found])) if len(found) > 1 else all_pairs(found[0])
+
+    if not found:
+        return work.keep(docs.select("doc_id", "text_hash").limit(0), "suspects")
+    seen = docs.select("doc_id", "text_hash", F.explode(once(hashed(words(F.lower("text"))), of)).alias("pair"))
+    return work.keep(seen.join(near(pairs.select("pair").distinct(), BROADCAST_WINDOWS), "pair").select(
+        "doc_id", "text_hash").distinct(), "suspects")
 
 
 def bare(word: Column) -> Column:
-    return F.lower(F.translate(word, "\x01\x02\x03", ""))
+    """A slot's value in lower case, without the punctuation around it; other words as they are."""
+    inside = F.regexp_replace(F.substring(word, 2, 1 << 30), SLOT_EDGE, "")
+    return F.when(F.substring(word, 1, 1).isin("\x01", "\x02", "\x03"), F.lower(inside)).otherwise(word)
 
 
 def places() -> Column:
     """Each window of the item at each of its places in the document: item_pos, offset, window, and
     its slots (what the item has, what the document has there)."""
     def slots(pos: Column, offset: Column) -> Column:
-        both = F.array(*[F.struct(F.get("asked", pos + k).alias("asked"), F.get("said", pos + offset + k).alias("said"))
-                         for k in range(WORDS)])
-        return F.filter(both, lambda x: F.substring(x["asked"], 1, 1).isin("\x01", "\x02", "\x03"))
+        at = F.filter(F.array(*[pos + k for k in range(WORDS)]), lambda p: F.coalesce(
+            F.substring(F.get("asked", p), 1, 1).isin("\x01", "\x02", "\x03"), F.lit(False)))
+        return F.transform(at, lambda p: F.struct(
+            bare(F.get("asked", p)).alias("asked"), bare(F.get("said", p + offset)).alias("said")))
 
     return F.flatten(F.transform("hits", lambda h: F.transform(h["w"], lambda x: F.struct(
         x["item_pos"].alias("item_pos"), h["offset"].alias("offset"), x["window"].alias("window"),
@@ -116,7 +186,7 @@ def verbatim() -> Column:
 
 def as_asked() -> Column:
     """All shared windows occur with the item's own values."""
-    same = F.filter("places", lambda x: ~F.exists(x["slots"], lambda y: ~bare(y["asked"]).eqNullSafe(bare(y["said"]))))
+    same = F.filter("places", lambda x: ~F.exists(x["slots"], lambda y: ~y["asked"].eqNullSafe(y["said"])))
     positions = lambda p: F.array_distinct(F.transform(p, lambda x: x["item_pos"]))
     return F.size(positions(same)) == F.size(positions(F.col("places")))
 
@@ -158,8 +228,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None)
     work = work or Workspace(docs.sparkSession, "leaks")
     docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     items = work.keep(item_windows(benchmark), "items")
-    seen = docs.select("doc_id", "text_hash", F.posexplode(
-        window_hashes(hashed(template(F.col("text"))))).alias("pos", "window"))
+    some = suspects(docs, work.keep(literal_pairs(items), "pairs"), work)
+    picked = docs.join(near(some), ["doc_id", "text_hash"], "left_semi")
+    seen = picked.select("doc_id", "text_hash", F.posexplode(
+        window_hashes(hashed(template(marked(F.col("text")))))).alias("pos", "window"))
+    items = items.select("item_id", "item_pos", "window", "n_windows")
     hits = seen.join(near(items, BROADCAST_WINDOWS), "window").groupBy(
         "doc_id", "text_hash", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("offset"),
     ).agg(F.collect_set(F.struct("window", "item_pos")).alias("w"))  # an item's windows at most
@@ -169,12 +242,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None)
     ).where(F.col("n_shared") >= SHARE * F.col("n_windows"))
     found = work.keep(found, "found")
 
-    asked = benchmark.where("item_id is not null").select("item_id", words(marked(F.col("text"))).alias("asked"))
+    asked = benchmark.where("item_id is not null").select("item_id", marked(F.col("text")).alias("asked"))
     # Only the few texts with enough windows are shuffled.
     keys = work.keep(found.select("doc_id", "text_hash").distinct(), "keys")
     picked = docs.join(near(keys), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     pairs = picked.join(found.hint("shuffle_hash"), ["doc_id", "text_hash"])
-    pairs = pairs.withColumn("said", words(marked(F.col("text")))).drop("text").join(asked, "item_id")
+    pairs = pairs.withColumn("said", marked(F.col("text"))).drop("text").join(asked, "item_id")
     # Written, or the filter on the result would work out the places anew at each of its steps.
     pairs = work.keep(pairs.withColumn("places", places()).withColumn("verbatim", verbatim()).drop("said"), "pairs")
     return pairs.select(

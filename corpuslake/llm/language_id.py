@@ -29,29 +29,22 @@ def is_held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(
-    docs: DataFrame, sample_texts: int = 256, text_chars: int = 2048, max_languages: int = 256,
-) -> dict[str, bytes]:
-    """Dictionary content per language, from at most ``sample_texts`` texts of each language and
-    ``text_chars`` characters of each text. The sample is the rows with the smallest hashes of their
-    ids. Rows without id, text or language teach nothing; no such row gives no language."""
+def fit(docs: DataFrame, sample_texts: int = 256) -> dict[str, bytes]:
+    """Dictionary content per language, from at most ``sample_texts`` whole texts of each language: the
+    rows with the smallest hashes of their ids. Of rows that repeat an id, the one with the smallest
+    language, then text, counts. Rows without id, text or language teach nothing; no such row gives no
+    language."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
                        & (F.length("text") > 0) & ~is_held_out(F.col("doc_id")))
+    # One row an id first; then every task keeps its first rows of a language before the shuffle.
+    ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     place = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = (
-        known.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(place))
-        .where(F.col("place") <= sample_texts).drop("place")
-    )
-    languages = [r[0] for r in chosen.select("lang").distinct().orderBy("lang").take(max_languages)]
-    ids = [r[0] for r in chosen.where(F.col("lang").isin(languages)).select("doc_id").collect()]
-    rows = (
-        known.where(F.col("doc_id").isin(ids))
-        .select("lang", "doc_id", F.substring("text", 1, text_chars).alias("text")).collect()
-    )
+    chosen = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample_texts).drop("place")
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     content: dict[str, list[bytes]] = {}
-    for lang, _, text in sorted(rows):
-        content.setdefault(lang, []).append(letters(text))
-    return {lang: b" ".join(texts) for lang, texts in content.items()}
+    for r in texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").toLocalIterator():
+        content.setdefault(r["lang"], []).append(letters(r["text"]))
+    return {lang: b" ".join(parts) for lang, parts in content.items()}
 
 
 def letters(text: str) -> bytes:
