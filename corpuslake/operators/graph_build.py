@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -24,8 +25,6 @@ RELATION = (
     "struct<subject:string,predicate:string,object:string,"
     "evidence:string,confidence:double>"
 )
-RESPONSE = f"chunk_id string, entities array<{ENTITY}>, relations array<{RELATION}>"
-
 
 @dataclass
 class Graph:
@@ -166,38 +165,6 @@ def run_extractor(
     return request_table.mapInPandas(ask, schema)
 
 
-def cooccurrence_responses(chunks: DataFrame, min_length: int = 8) -> DataFrame:
-    """Built-in extractor without a model: the first and the last long word of a
-    chunk are terms, related by the text between them."""
-    words = F.filter(
-        F.regexp_extract_all("content", F.lit(rf"\p{{L}}{{{min_length},}}"), F.lit(0)),
-        lambda w: F.length(w) <= 255,
-    )
-    term = lambda local, name: F.struct(
-        F.lit(local).alias("local_id"), name.alias("name"), F.lit("TERM").alias("type"),
-        F.array().cast("array<string>").alias("aliases"),
-        F.lit(None).cast("string").alias("description"),
-    )
-    first, last = F.get("_w", F.lit(0)), F.get("_w", F.size("_w") - 1)
-    two = F.size("_w") > 1
-    relation = F.struct(
-        F.lit("e1").alias("subject"), F.lit("RELATED_TO").alias("predicate"),
-        F.lit("e2").alias("object"), first.alias("evidence"),
-        F.round(F.lit(0.6) + (F.col("chunk_index") % 5) * F.lit(0.1), 1).alias("confidence"),
-    )
-    body = F.struct(
-        F.col("chunk_id"),
-        F.when(two, F.array(term("e1", first), term("e2", last)))
-        .when(F.size("_w") == 1, F.array(term("e1", first)))
-        .otherwise(F.array().cast(f"array<{ENTITY}>")).alias("entities"),
-        F.when(two, F.array(relation))
-        .otherwise(F.array().cast(f"array<{RELATION}>")).alias("relations"),
-    )
-    return chunks.withColumn("_w", words).select(
-        "chunk_id", "document_id", "content", F.to_json(body).alias("raw")
-    )
-
-
 # --- parse and validate ----------------------------------------------------
 
 def parse_responses(answers: DataFrame) -> DataFrame:
@@ -226,49 +193,56 @@ def _is_object():
     )
 
 
-def _kinds(element):
-    """Types of a JSON object's fields, such as ``OBJECT<name: STRING>``."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(element)), F.lit(""))
+def _kind(element, field: str):
+    """Type of one field of a JSON object (VOID for null); no type where the key is absent."""
+    return F.schema_of_variant(F.try_variant_get(element, f"$.{field}", "variant"))
+
+
+def _typed(element, kinds: dict[str, tuple[str, ...]]):
+    """Each of these fields is absent or of one of its types; other fields may be anything."""
+    checks = [F.coalesce(_kind(element, field).isin(*allowed), F.lit(True)) for field, allowed in kinds.items()]
+    return reduce(lambda a, b: a & b, checks)
 
 
 def _entity_typed(element):
-    kinds = _kinds(element)
-    return ~(
-        kinds.rlike(r"[<,] ?(local_id|name|type): (?!STRING)")
-        | kinds.rlike(r"[<,] ?aliases: (?!ARRAY<(STRING|VOID)>)")
-        | kinds.rlike(r"[<,] ?description: (?!STRING|VOID)")
-    )
+    text = ("STRING",)
+    return _typed(element, {
+        "local_id": text, "name": text, "type": text, "aliases": ("ARRAY<STRING>", "ARRAY<VOID>"),
+        "description": ("STRING", "VOID")})
 
 
 def _confidence(element):
     """A number or numeric text; the default only where the key is absent."""
-    given = F.try_variant_get(F.try_parse_json(element), "$.confidence", "double")
-    return F.when(_kinds(element).rlike(r"[<,] ?confidence: "), given).otherwise(F.lit(0.8))
+    given = F.try_variant_get(element, "$.confidence", "double")
+    return F.when(_kind(element, "confidence").isNotNull(), given).otherwise(F.lit(0.8))
 
 
 def _relation_typed(element):
-    return ~_kinds(element).rlike(r"[<,] ?(subject|predicate|object|evidence): (?!STRING)")
+    return _typed(element, {field: ("STRING",) for field in ("subject", "predicate", "object", "evidence")})
+
+
+def _text(element, field: str, kind: str = "string"):
+    return F.try_variant_get(element, f"$.{field}", kind)
 
 
 def _validated(parsed: DataFrame) -> DataFrame:
     """Check each answer's JSON object ``_text`` element by element: a field of a wrong
-    type drops its element."""
-    parsed = parsed.withColumn("_data", F.from_json("_text", RESPONSE)).withColumn(
-        "_elements", F.from_json("_text", "entities array<string>, relations array<string>")
-    )
-    entity_text = lambda i: F.get(F.col("_elements.entities"), i)
-    relation_text = lambda i: F.get(F.col("_elements.relations"), i)
-    good_entity = lambda e, i: (
-        e["local_id"].isNotNull()
-        & _entity_typed(entity_text(i))
-        & F.length(e["name"]).between(1, 255)
-        & e["type"].isin(*ENTITY_TYPES)
-    )
-    usable = parsed.withColumn(
-        "_good",
-        F.filter(F.coalesce("_data.entities", F.array().cast(f"array<{ENTITY}>")), good_entity),
-    )
-    ids = F.transform("_good", lambda e: e["local_id"])
+    type drops its element, whatever other keys it has. The text is parsed once."""
+    parsed = parsed.withColumn(
+        "_data", F.from_json("_text", "entities array<variant>, relations array<variant>"))
+    none = F.array().cast("array<variant>")
+    told = F.transform(F.coalesce("_data.entities", none), lambda v: F.struct(
+        F.struct(_text(v, "local_id").alias("local_id"), _text(v, "name").alias("name"), _text(v, "type").alias("type"),
+                 _text(v, "aliases", "array<string>").alias("aliases"),
+                 _text(v, "description").alias("description")).cast(ENTITY).alias("e"),
+        _entity_typed(v).alias("typed")))
+    good_entity = lambda x: (
+        x["e"]["local_id"].isNotNull()
+        & x["typed"]
+        & F.length(x["e"]["name"]).between(1, 255)
+        & x["e"]["type"].isin(*ENTITY_TYPES)
+    )
+    usable = parsed.withColumn("_good", F.transform(F.filter(told, good_entity), lambda x: x["e"]))
     last_wins = F.filter(
         "_good",
         lambda e, i: ~F.exists(
@@ -276,32 +250,26 @@ def _validated(parsed: DataFrame) -> DataFrame:
             lambda later: later["local_id"] == e["local_id"],
         ),
     )
-    good_relation = lambda r: (
-        r["_typed"] & r["predicate"].isin(*PREDICATES)
-        & F.array_contains(F.col("_ids"), r["subject"])
-        & F.array_contains(F.col("_ids"), r["object"])
-        & (r["subject"] != r["object"])
-        & (F.length(r["evidence"]) > 0)
-        & r["confidence"].between(0.0, 1.0)
-        & F.contains(F.col("_flat"), tx.squeeze(r["evidence"]))
-    )
+    related = F.transform(F.coalesce("_data.relations", none), lambda v: F.struct(
+        *[_text(v, field).alias(field) for field in ("subject", "predicate", "object", "evidence")],
+        _confidence(v).alias("confidence"), _relation_typed(v).alias("_typed")))
+
+    def good_relation(r, about):
+        return F.coalesce(
+            r["_typed"] & r["predicate"].isin(*PREDICATES)
+            & F.array_contains(about["ids"], r["subject"])
+            & F.array_contains(about["ids"], r["object"])
+            & (r["subject"] != r["object"])
+            & (F.length(r["evidence"]) > 0)
+            & r["confidence"].between(0.0, 1.0)
+            & F.contains(about["flat"], tx.squeeze(r["evidence"])), F.lit(False))
+
+    # What all relations of an answer are checked against is worked out once.
+    about = F.struct(
+        F.transform("_good", lambda e: e["local_id"]).alias("ids"), tx.squeeze(F.col("content")).alias("flat"))
+    kept = tx.once(about, lambda c: F.filter(related, lambda r: good_relation(r, c)))
     return (
-        usable.withColumn("_ids", ids)
-        .withColumn("_flat", tx.squeeze(F.col("content")))
-        .withColumn(
-            "relations",
-            F.transform(
-                F.filter(
-                    F.transform(
-                        F.coalesce("_data.relations", F.array().cast(f"array<{RELATION}>")),
-                        lambda r, i: r.withField("confidence", _confidence(relation_text(i)))
-                        .withField("_typed", _relation_typed(relation_text(i))),
-                    ),
-                    lambda r: F.coalesce(good_relation(r), F.lit(False)),
-                ),
-                lambda r: r.dropFields("_typed"),
-            ),
-        )
+        usable.withColumn("relations", F.transform(kept, lambda r: r.dropFields("_typed").cast(RELATION)))
         .withColumn("entities", last_wins)
         .select(
             "chunk_id", "document_id", "content", "ok", "entities", "relations",

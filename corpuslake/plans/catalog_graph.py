@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from corpuslake.operators import graph_build, graph_query
+from corpuslake.operators import dictionary, graph_build, graph_query
 from corpuslake.plans.catalog_tables import THIN_EV, THIN_GM, thinned
 from corpuslake.plans.catalog_text import graph_work
 from corpuslake.plans.registry import query
+from corpuslake.session import cut_lineage
 
 
 @query("j1_parse_responses", """
@@ -205,14 +206,31 @@ def g5(k):
 
 
 @query("o4_cooccurrence_extractor", """
-SELECT d.chunk_id, 1 + (n > 1)::BIGINT AS n_entities, (n > 1)::BIGINT AS n_relations FROM dw d""")
+SELECT chunk_id, count(DISTINCT name) AS n_entities, coalesce(any_value(r.n), 0) AS n_relations
+FROM dm LEFT JOIN (SELECT chunk_id, count(*) AS n FROM dlinked GROUP BY 1) r USING (chunk_id) GROUP BY chunk_id""")
 def o4(k):
-    parsed = graph_build.parse_responses(graph_build.cooccurrence_responses(k.active_chunks()))
-    return parsed.where(F.size("entities") > 0).select(
-        "chunk_id", F.size("entities").alias("n_entities"), F.size("relations").alias("n_relations")
+    return graph_build.parse_responses(k.document_answers()).select(
+        "chunk_id", F.size("entities").cast("long").alias("n_entities"), F.size("relations").cast("long").alias("n_relations")
     )
 
 
+@query("o4_dictionary_matches", "SELECT chunk_id, name, start, \"end\" FROM dm")
+def o4c(k):
+    """Every place of every dictionary name in whole chunks; the longest of nested names."""
+    found = dictionary.find_names(k.active_chunks(), k.names())
+    return found.select("chunk_id", F.explode("names").alias("n")).select(
+        "chunk_id", "n.name", F.col("n.start").cast("long").alias("start"), F.col("n.end").cast("long").alias("end"))
+
+
+@query("o4_significant_pairs", """
+SELECT a AS first, b AS second, n, likelihood, closeness FROM dsig WHERE likelihood >= 10.83""")
+def o4d(k):
+    chunks = k.active_chunks()
+    found = cut_lineage(dictionary.find_names(chunks.select("chunk_id", "content"), k.names()), "found")
+    told = dictionary.significance(dictionary.neighbours(found), found, chunks.agg(F.count("*")).scalar())
+    return told.where("likelihood >= 10.83")
+
+
 @query("o4_plugged_extractor")
 def o4b(k):
     """A stand-in model that answers every batch with empty lists."""

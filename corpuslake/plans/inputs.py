@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.config import DEFAULTS
 from corpuslake.functions import text as tx
-from corpuslake.operators import chunking, graph_build, maintain, ranking, vector
+from corpuslake.operators import chunking, dictionary, graph_build, maintain, ranking, vector
 from corpuslake.operators.graph_build import ENTITY, RELATION, Graph
 from corpuslake.session import cut_lineage
 
@@ -409,9 +409,23 @@ class Corpus:
         ).distinct()
         return n.unionByName(p).select(F.col("query").alias("query_id"), "query")
 
+    def names(self) -> DataFrame:
+        """Dictionary for the documents: long words of the questions, and neighbouring ones of
+        five letters and more."""
+        words = self.queries().select(tx.tokens(F.col("query")).alias("w"))
+        single = words.select(F.explode("w").alias("name")).where("length(name) >= 8")
+        double = words.select(F.explode(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))),
+            lambda i: F.slice("w", i, 2))).alias("two")).where(
+            (F.size("two") == 2) & ~F.exists("two", lambda x: F.length(x) < 5))
+        return single.unionByName(double.select(F.array_join("two", " ").alias("name"))).distinct()
+
+    def document_answers(self) -> DataFrame:
+        return dictionary.responses(self.active_chunks(), self.names())
+
     def document_graph(self) -> Graph:
-        """Graph over the active chunks, by the built-in co-occurrence extractor."""
-        answers = graph_build.cooccurrence_responses(self.active_chunks())
+        """Graph over the active chunks, by the built-in dictionary extractor."""
+        answers = self.document_answers()
         parsed = cut_lineage(
             graph_build.confident(graph_build.parse_responses(answers)), "parsed"
         )

@@ -277,24 +277,46 @@ VIEWS["tchunks"] = "SELECT CAST(o_orderkey AS VARCHAR) AS chunk_id FROM orders"
 VIEWS["tsearch"] = graph_search("th", "tseeds", "tev", "tchunks")
 
 # --- document graph --------------------------------------------------------
-VIEWS["dw"] = r"""
-SELECT chunk_id, document_id, chunk_index, w[1] AS a, w[len(w)] AS z, len(w) AS n FROM (
-  SELECT *, list_filter(regexp_extract_all(content, '\p{L}{8,}'), lambda x: length(x) <= 255) AS w
-  FROM kactive) WHERE len(w) > 0"""
+VIEWS["dn"] = f"""
+SELECT DISTINCT name, n FROM (
+  WITH q AS (SELECT {TOKENS.format('query')} AS t FROM kqueries)
+  SELECT unnest(list_filter(t, lambda w: length(w) >= 8)) AS name, 1 AS n FROM q
+  UNION ALL SELECT t[i] || ' ' || t[i + 1], 2 FROM (SELECT t, unnest(range(1, len(t))) AS i FROM q)
+  WHERE length(t[i]) >= 5 AND length(t[i + 1]) >= 5)"""
+VIEWS["dtok"] = """
+SELECT *, token || ' ' || lead(token) OVER (PARTITION BY chunk_id ORDER BY start) AS two FROM (
+  SELECT chunk_id, unnest(t) AS token, unnest(range(len(t))) AS start FROM ktok)"""
+VIEWS["docc"] = """
+SELECT chunk_id, name, start, start AS "end" FROM dtok JOIN dn ON n = 1 AND token = name
+UNION ALL SELECT chunk_id, name, start, start + 1 FROM dtok JOIN dn ON n = 2 AND two = name"""
+VIEWS["dm"] = """
+SELECT * FROM docc o WHERE NOT EXISTS (
+  SELECT 1 FROM docc x WHERE x.chunk_id = o.chunk_id AND x.start <= o.start AND x."end" >= o."end"
+    AND x."end" - x.start > o."end" - o.start)"""
+VIEWS["dmet"] = """
+SELECT DISTINCT x.chunk_id, least(x.name, y.name) AS a, greatest(x.name, y.name) AS b
+FROM dm x JOIN dm y ON x.chunk_id = y.chunk_id AND x.name <> y.name AND y.start > x."end" AND y.start <= x."end" + 12"""
+_XLOGX = "CASE WHEN {0} > 0 THEN ({0})::DOUBLE * ln(({0})::DOUBLE) ELSE 0.0::DOUBLE END"
+_G2 = " ".join(f"{sign} {_XLOGX.format(x)}" for sign, x in [
+    ("+", "n"), ("+", "na - n"), ("+", "nb - n"), ("+", "t - na - nb + n"), ("-", "na"), ("-", "(t - na)"), ("-", "nb"),
+    ("-", "(t - nb)"), ("+", "t")])
+VIEWS["dsig"] = f"""
+SELECT a, b, n, round(CASE WHEN n * t >= na * nb THEN 1 ELSE -1 END * 2 * ({_G2}), 6) AS likelihood,
+       round(CASE WHEN n >= t THEN 1.0::DOUBLE ELSE ln((n * t)::DOUBLE / (na * nb)) / ln(t::DOUBLE / n) END, 6) AS closeness
+FROM (WITH c AS (SELECT name, count(DISTINCT chunk_id) AS m FROM dm GROUP BY 1)
+      SELECT a, b, count(*) AS n, any_value(x.m) AS na, any_value(y.m) AS nb, (SELECT count(*) FROM kactive) AS t
+      FROM dmet JOIN c x ON x.name = a JOIN c y ON y.name = b GROUP BY a, b)"""
 VIEWS["dents"] = f"""
-SELECT chunk_id, pos, name, {NORMAL.format('name')} AS normalized_name,
-       sha256('TERM|' || {NORMAL.format('name')}) AS entity_id FROM (
-  SELECT chunk_id, 0 AS pos, a AS name FROM dw UNION ALL
-  SELECT chunk_id, 1, z FROM dw WHERE n > 1)"""
+SELECT chunk_id, start AS pos, name, {NORMAL.format('name')} AS normalized_name,
+       sha256('TERM|' || {NORMAL.format('name')}) AS entity_id FROM dm"""
 VIEWS["de"] = """
-SELECT entity_id, any_value(normalized_name) AS normalized_name,
-       arg_min(name, chunk_id || ':' || pos) AS canonical_name FROM dents GROUP BY entity_id"""
+SELECT entity_id, any_value(normalized_name) AS normalized_name, any_value(name) AS canonical_name
+FROM dents GROUP BY entity_id"""
 VIEWS["dlinked"] = f"""
 SELECT *, sha256(subject_id || '|RELATED_TO|' || object_id) AS relation_id FROM (
-  SELECT chunk_id, round(0.6::DOUBLE + (chunk_index % 5) * 0.1::DOUBLE, 1) AS confidence,
-         sha256('TERM|' || {NORMAL.format('a')}) AS subject_id,
-         sha256('TERM|' || {NORMAL.format('z')}) AS object_id FROM dw WHERE n > 1)
-WHERE subject_id <> object_id"""
+  SELECT chunk_id, round(0.6::DOUBLE + 0.4::DOUBLE * closeness, 2) AS confidence,
+         sha256('TERM|' || {NORMAL.format('a')}) AS subject_id, sha256('TERM|' || {NORMAL.format('b')}) AS object_id
+  FROM dmet JOIN dsig USING (a, b) WHERE likelihood >= 10.83)"""
 VIEWS["dr"] = """
 SELECT relation_id, any_value(subject_id) AS subject_id, 'RELATED_TO' AS predicate,
        any_value(object_id) AS object_id, max(confidence) AS confidence
