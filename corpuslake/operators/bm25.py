@@ -1,72 +1,66 @@
-"""Keyword search: inverted index, corpus statistics and Okapi BM25 top-k."""
+"""Keyword search: stored inverted index, corpus statistics and exact Okapi BM25 top-k.
+
+The index is built in one pass over the texts and kept as tables: ``forward`` (one row per chunk with
+its tokens and their counts), ``tokens`` (document frequency, idf and largest impact) and ``blocks``
+(postings of a token by falling impact, a row for ``BLOCK`` of them, with the block's upper bound).
+A search reads the first blocks, scores their best chunks in full for a k-th score that the answer reaches
+in any case, and then only opens blocks whose bound, with all that the other tokens could add, comes up to it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslake.config import DEFAULTS, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import ranking
-from corpuslake.session import cut_lineage
+from corpuslake.session import cut_lineage, path_exists, shared_dir
 
 CHUNK_COLUMNS = ["chunk_id", "document_id", "chunk_index"]
+BLOCK = 64  # postings of a block
+SHARD = 1 << 20  # chunks of a shard; a token's postings are ranked shard by shard
+SLACK = 1e-5  # scores are rounded to six places
 
 
-def postings(chunks: DataFrame, tokenizer=tx.tokens) -> DataFrame:
-    """One row per token and chunk: count in the chunk and chunk length.
-
-    The index is sharded by chunk: all tokens of a chunk stay in one partition.
-    Token counts, and later the scores of a chunk, need no further shuffle, and
-    a token that is in every chunk is spread over all shards.
-    """
-    sharded = chunks.select(*CHUNK_COLUMNS, "content").repartition("chunk_id")
-    return (
-        sharded.withColumn("_tokens", tokenizer(F.col("content")))
-        .withColumn("length", F.size("_tokens").cast("long"))
-        .select(*CHUNK_COLUMNS, "length", F.explode("_tokens").alias("token"))
-        .groupBy(*CHUNK_COLUMNS, "length", "token")
-        .agg(F.count("*").alias("tf"))
-    )
+def term_counts(tokens: Column) -> Column:
+    """Distinct tokens of a row in order, with their counts (array of token, tf)."""
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda w, i: F.when(
+            (i == 0) | (w != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return tx.once(starts, lambda s: F.transform(s, lambda p, i: F.struct(
+            F.get(t, p).alias("token"), (F.coalesce(F.get(s, i + 1), F.size(t)) - p).cast("long").alias("tf"))))
 
+    return tx.once(F.sort_array(tokens), runs)
 
-def write_index(index: DataFrame, table: str, shards: int) -> None:
-    """Store postings sharded by chunk and sorted by token, as a bucketed table.
 
-    Readers score without a shuffle, and row groups that do not hold a query
-    token are skipped by their token range.
-    """
-    (
-        index.write.mode("overwrite")
-        .bucketBy(shards, "chunk_id")
-        .sortBy("token")
-        .format("parquet")
-        .saveAsTable(table)
-    )
+def forward_rows(chunks: DataFrame, tokenizer=tx.tokens) -> DataFrame:
+    """One row per chunk: its length in tokens and its terms. Nothing is shuffled."""
+    cut = chunks.select(*CHUNK_COLUMNS, tokenizer(F.col("content")).alias("_tokens"))
+    return cut.select(*CHUNK_COLUMNS, F.size("_tokens").cast("long").alias("length"), term_counts(F.col("_tokens")).alias("terms"))
 
 
-def chunk_lengths(chunks: DataFrame, tokenizer=tx.tokens) -> DataFrame:
-    return chunks.select(
-        "chunk_id", F.size(tokenizer(F.col("content"))).cast("long").alias("length")
-    )
+def postings(chunks: DataFrame, tokenizer=tx.tokens) -> DataFrame:
+    """One row per token and chunk: count in the chunk and chunk length."""
+    return forward_rows(chunks, tokenizer).select(*CHUNK_COLUMNS, "length", F.inline("terms"))
 
 
-def corpus_stats(chunks: DataFrame, tokenizer=tx.tokens) -> DataFrame:
+def corpus_stats(forward: DataFrame) -> DataFrame:
     """One row: number of chunks and average length, blank chunks included."""
-    return chunk_lengths(chunks, tokenizer).agg(
-        F.count("*").alias("n_chunks"), F.avg("length").alias("avg_length")
-    )
+    return forward.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("avg_length"))
 
 
-def token_idf(
-    index: DataFrame, stats: DataFrame, settings: Settings = DEFAULTS
-) -> DataFrame:
+def token_idf(postings_: DataFrame, stats: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Document frequency and idf of each token; a negative idf becomes a share
-    of the mean idf over the whole vocabulary."""
+    of the mean idf over the whole vocabulary. Other aggregates of ``postings_`` may be added with
+    ``impact``, whose largest value is kept."""
     n = stats.select("n_chunks").scalar()
+    most = [F.max("impact").alias("max_impact")] if "impact" in postings_.columns else []
     raw = (
-        index.groupBy("token")
-        .agg(F.count("*").alias("df"))
+        postings_.groupBy("token")
+        .agg(F.count("*").alias("df"), *most)
         .withColumn(
             "_raw",
             F.log(n - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5)),
@@ -77,12 +71,77 @@ def token_idf(
     return raw.select(
         "token",
         "df",
+        *(["max_impact"] if most else []),
         F.when(F.col("_raw") < 0, F.lit(settings.bm25_epsilon) * mean)
         .otherwise(F.col("_raw"))
         .alias("idf"),
     )
 
 
+def impact(tf: Column, length: Column, average: Column | float, settings: Settings) -> Column:
+    """Share of a token in a chunk's score, to be weighed with the query's part."""
+    k1, b = F.lit(settings.bm25_k1), F.lit(settings.bm25_b)
+    return tf * (k1 + 1) / (tf + k1 * (F.lit(1.0) - b + b * length / average))
+
+
+@dataclass
+class KeywordIndex:
+    """Tables of a stored index; ``signature`` tells what it was built from."""
+
+    forward: DataFrame
+    tokens: DataFrame
+    blocks: DataFrame
+    stats: DataFrame
+    signature: str
+    settings: Settings = DEFAULTS
+
+    def postings(self) -> DataFrame:
+        return self.forward.select("chunk_no", *CHUNK_COLUMNS, "length", F.inline("terms"))
+
+
+def open_index(spark: SparkSession, path: str, signature: str, settings: Settings = DEFAULTS) -> KeywordIndex | None:
+    """The index stored at ``path``; None if there is none that was finished, or its signature is another."""
+    if not path_exists(spark, f"{path}/ready/_SUCCESS"):
+        return None
+    known = spark.read.schema("signature string").parquet(f"{path}/ready").first()
+    if known is None or known[0] != signature:
+        return None
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return KeywordIndex(read("forward"), read("tokens"), read("blocks"), read("stats"), signature, settings)
+
+
+def write_index(
+    chunks: DataFrame, path: str, signature: str = "", settings: Settings = DEFAULTS, tokenizer=tx.tokens,
+) -> KeywordIndex:
+    """Build and store the index. Texts are tokenised once, by the table of chunks; the signature is written last, so that
+    a build that broke off is not taken for an index."""
+    spark = chunks.sparkSession
+    forward_rows(chunks, tokenizer).withColumn("chunk_no", F.monotonically_increasing_id()).write.mode(
+        "overwrite").parquet(f"{path}/forward")
+    forward = spark.read.parquet(f"{path}/forward")  # chunk_no is fixed from here on
+    corpus_stats(forward).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    n_chunks, average = stats.first()
+    rows = forward.select("chunk_no", "length", F.inline("terms")).withColumn(
+        "impact", impact(F.col("tf"), F.col("length"), F.lit(average).cast("double"), settings))
+    token_idf(rows, stats, settings).write.mode("overwrite").parquet(f"{path}/tokens")
+    shards = 1 + n_chunks // SHARD
+    place = Window.partitionBy("token", "shard").orderBy(F.desc("impact"), "chunk_no")
+    ranked = rows.select("token", F.pmod(F.xxhash64("chunk_no"), F.lit(shards)).cast("int").alias("shard"), "chunk_no", "impact")
+    ranked = ranked.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int"))
+    ranked.groupBy("token", "shard", "block").agg(
+        F.max("impact").alias("top"), F.collect_list(F.struct("chunk_no", "impact")).alias("members"),
+    ).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/blocks")
+    spark.createDataFrame([(signature,)], "signature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/ready")
+    return open_index(spark, path, signature, settings)
+
+
+def stored_index(chunks: DataFrame, path: str, signature: str, settings: Settings = DEFAULTS, tokenizer=tx.tokens) -> KeywordIndex:
+    """The index at ``path`` if it is of this signature, else a new one in its place."""
+    known = open_index(chunks.sparkSession, path, signature, settings)
+    return known or write_index(chunks, path, signature, settings, tokenizer)
+
+
 def query_tokens(queries: DataFrame, tokenizer=tx.tokens) -> DataFrame:
     """Distinct tokens of each query with their number of occurrences."""
     return (
@@ -92,33 +151,21 @@ def query_tokens(queries: DataFrame, tokenizer=tx.tokens) -> DataFrame:
     )
 
 
-def score(
-    queries: DataFrame,
-    index: DataFrame,
-    stats: DataFrame,
-    idf: DataFrame,
-    settings: Settings = DEFAULTS,
-    tokenizer=tx.tokens,
-) -> DataFrame:
-    """BM25 score of each query and chunk that share a token."""
-    avg_length = stats.select("avg_length").scalar()
-    # Written first, so that its true size is known: under the broadcast threshold
-    # the index is scored where it lies, above it the join shuffles.
-    weighted = cut_lineage(
-        query_tokens(queries, tokenizer).join(idf, "token").select(
-            "query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight")
-        )
-    )
-    k1, b = F.lit(settings.bm25_k1), F.lit(settings.bm25_b)
-    saturation = (
-        F.col("tf") * (k1 + 1)
-        / (F.col("tf") + k1 * (F.lit(1.0) - b + b * F.col("length") / avg_length))
-    )
-    return (
-        index.join(weighted, "token")
-        .groupBy("query_id", *CHUNK_COLUMNS)
-        .agg(F.round(F.sum(F.col("weight") * saturation), 6).alias("score"))
-    )
+def scored(pairs: DataFrame, weighted: DataFrame, index: KeywordIndex) -> DataFrame:
+    """Full BM25 scores of pairs (query_id, chunk_no)."""
+    average = F.lit(index.stats.first()["avg_length"]).cast("double")
+    asked = weighted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("_asked"))
+    rows = pairs.join(index.forward, "chunk_no").join(asked, "query_id")
+    found = F.map_from_entries(F.transform("terms", lambda t: F.struct(
+        t["token"].alias("k"), impact(t["tf"], F.col("length"), average, index.settings).alias("v"))))
+    total = tx.once(found, lambda m: F.aggregate("_asked", F.lit(0.0), lambda s, a: s + F.coalesce(
+        a["weight"] * F.try_element_at(m, a["token"]), F.lit(0.0))))
+    return rows.select("query_id", "chunk_no", *CHUNK_COLUMNS, F.round(total, 6).alias("score"))
+
+
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    order = [F.desc("score"), F.asc("document_id"), F.asc("chunk_index")]
+    return ranking.top_k(rows.where("score > 0"), ["query_id"], order, k)
 
 
 def search(
@@ -126,17 +173,34 @@ def search(
     chunks: DataFrame,
     settings: Settings = DEFAULTS,
     tokenizer=tx.tokens,
-    index: DataFrame | None = None,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
-    """Best chunks of each query with a score above 0; ties in corpus order."""
+    """Best chunks of each query with a score above 0; ties in corpus order. Exact: a chunk is passed
+    over only where its upper bound is below a score that k chunks are known to reach."""
     if index is None:
-        index = postings(chunks, tokenizer)
-    stats = corpus_stats(chunks, tokenizer)
-    idf = token_idf(index, stats, settings)
-    scored = score(queries, index, stats, idf, settings, tokenizer)
-    return ranking.top_k(
-        scored.where("score > 0"),
-        ["query_id"],
-        [F.desc("score"), F.asc("document_id"), F.asc("chunk_index")],
-        settings.bm25_k,
-    )
+        index = write_index(chunks, shared_dir(queries.sparkSession, "keywords"), settings=settings, tokenizer=tokenizer)
+    k = settings.bm25_k
+    weighted = query_tokens(queries, tokenizer).join(index.tokens, "token").select(
+        "query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"),
+        (F.col("qtf") * F.col("idf") * F.col("max_impact")).alias("most"))
+    # Tokens with a negative weight only lower a score: they add nothing to a bound.
+    add = F.greatest("most", F.lit(0.0))
+    own, rising = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("most", "token")
+    weighted = cut_lineage(weighted.withColumn("total", F.sum(add).over(own)).withColumn("upto", F.sum(add).over(rising)), "weights")
+
+    # A score that k chunks reach: the best chunks of each token's first blocks, scored in full.
+    first = index.blocks.where("block = 0").join(weighted.where("weight > 0"), "token")
+    partial = first.select("query_id", "weight", F.inline("members")).groupBy("query_id", "chunk_no").agg(
+        F.sum(F.col("weight") * F.col("impact")).alias("part"))
+    leaders = ranking.top_k(partial, ["query_id"], [F.desc("part"), F.asc("chunk_no")], 4 * k).select("query_id", "chunk_no")
+    known = _best(scored(cut_lineage(leaders, "leaders"), weighted, index), k)
+    reached = cut_lineage(known.where(F.col("rank") == k - 1).select("query_id", (F.col("score") - SLACK).alias("reached")), "reached")
+
+    # A chunk that reaches it holds an essential token: the others together stay below. And in a block
+    # of that token whose bound, with all that other tokens could add, comes up to it.
+    bounds = weighted.where("weight > 0").join(reached, "query_id", "left").fillna(0.0, ["reached"])
+    bounds = bounds.where("upto >= reached").select(
+        "query_id", "token", "weight", (F.col("reached") - F.col("total") + F.col("most")).alias("needed"))
+    opened = index.blocks.join(bounds, "token").where(F.col("weight") * F.col("top") >= F.col("needed"))
+    pairs = cut_lineage(opened.select("query_id", F.inline("members")).select("query_id", "chunk_no").distinct(), "pairs")
+    return _best(scored(pairs, weighted, index), k).drop("chunk_no")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.config import DEFAULTS
 from corpuslake.functions import text as tx
-from corpuslake.operators import chunking, maintain, vector
+from corpuslake.operators import bm25, chunking, maintain, vector
 from corpuslake.plans.registry import query
 from corpuslake.schemas import KNOWLEDGE_CHUNKS, KNOWLEDGE_DOCUMENTS
 from corpuslake.session import shared_dir
@@ -183,11 +183,24 @@ def m9(k):
 
 
 @query("m10_signature_staleness", """
-SELECT 'g2|2|hashing:md5-64|' || fingerprint || '|2024-01-02' <> 'g1|2|hashing:md5-64||2024-01-01' AS reload FROM kfp""")
+WITH n AS (SELECT count(*) FILTER (WHERE lang <> 'es') AS old, count(*) AS new,
+                  (SELECT count(*) FROM kdocs WHERE status = 'ready' AND lang = 'es') > 0 AS changed FROM kactive)
+SELECT 'built' AS step, false AS stale, old AS n_chunks FROM n
+UNION ALL SELECT 'documents changed', changed, old FROM n
+UNION ALL SELECT 'published again', false, new FROM n""")
 def m10(k):
-    s = k.index_state()
-    current = tx.index_signature(*[F.col(c) for c in s.columns[1:]])
-    return s.select((current != F.lit("g1|2|hashing:md5-64||2024-01-01")).alias("reload"))
+    """A stored index before and after documents change, and after it was published again."""
+    spark, path = k.spark, shared_dir(k.spark, "m10")
+    ready = k.documents().where("status = 'ready'")
+    signed = lambda docs: maintain.corpus_fingerprint(docs).first()["fingerprint"]
+    size = lambda index: index.stats.first()["n_chunks"]
+    old, new = signed(ready.where("lang <> 'es'")), signed(ready)
+    index = bm25.stored_index(chunking.line_chunks(ready.where("lang <> 'es'")), path, old)
+    steps = [("built", bm25.open_index(spark, path, old) is None, size(index)),
+             ("documents changed", bm25.open_index(spark, path, new) is None, size(index))]
+    index = bm25.stored_index(k.active_chunks(), path, new)
+    steps.append(("published again", bm25.open_index(spark, path, new) is None, size(index)))
+    return spark.createDataFrame(steps, "step string, stale boolean, n_chunks long")
 
 
 @query("m11_persisted_count", """

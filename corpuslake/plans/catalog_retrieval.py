@@ -16,11 +16,11 @@ from corpuslake.sources import questions, tables
 
 
 def text_index(k):
-    return Index(k.active_chunks(), k.chunk_vectors())
+    return Index(k.active_chunks(), k.chunk_vectors(), keywords=k.keyword_index())
 
 
 def full_index(k):
-    return Index(k.active_chunks(), k.chunk_vectors(), k.document_graph(), nfkc=False)
+    return Index(k.active_chunks(), k.chunk_vectors(), k.document_graph(), k.keyword_index(), nfkc=False)
 
 
 def shown(fused_rows):
@@ -38,12 +38,12 @@ SELECT query_id, chunk_id, round(fusion_score, 6) AS fusion_score, channels,
 
 @query("k1_inverted_index", "SELECT token, chunk_id, tf, length FROM kposts")
 def k1(k):
-    return bm25.postings(k.active_chunks()).select("token", "chunk_id", "tf", "length")
+    return k.keyword_index().postings().select("token", "chunk_id", "tf", "length")
 
 
 @query("k2_bm25_topk", "SELECT query_id, chunk_id, score, rank FROM kbm25")
 def k2(k):
-    return bm25.search(k.queries(), k.active_chunks()).select(
+    return bm25.search(k.queries(), k.active_chunks(), index=k.keyword_index()).select(
         "query_id", "chunk_id", "score", "rank"
     )
 
@@ -53,7 +53,7 @@ SELECT query_id, document_id, chunk_index, rank FROM kbm25 WHERE rank < 3""")
 def g1(k):
     from dataclasses import replace
 
-    return bm25.search(k.queries(), k.active_chunks(), replace(DEFAULTS, bm25_k=3)).select(
+    return bm25.search(k.queries(), k.active_chunks(), replace(DEFAULTS, bm25_k=3), index=k.keyword_index()).select(
         "query_id", "document_id", "chunk_index", "rank"
     )
 
@@ -92,6 +92,14 @@ def k3c(k):
     return vector.search_lsh(vector.centroids(vectors), vectors, id_column="vec_id")
 
 
+@query("k3_vector_cells")
+def k3d(k):
+    """Every hundredth vector against all, through the inverted file."""
+    vectors = k.table("embeddings").select("vec_id", "embedding")
+    queries = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return vector.search_cells(queries, vector.inverted_file(vectors, "vec_id"))
+
+
 @query("k7_rrf_fusion", SHOWN + "f2")
 def k7(k):
     return shown(retrieve(k.queries(), text_index(k)))
@@ -142,8 +150,8 @@ def k11(k):
 
 @query("o3_pluggable_retriever", "SELECT query_id, chunk_id, rank FROM kbm25")
 def o3(k):
-    chunks = k.active_chunks()
-    retriever = lambda queries: bm25.search(queries, chunks)
+    chunks, index = k.active_chunks(), k.keyword_index()
+    retriever = lambda queries: bm25.search(queries, chunks, index=index)
     hits = retriever(k.queries())
     return fusion.first_seen(fusion.ranked_list(hits, "custom", 0, 1.0)).select("query_id", "chunk_id", "rank")
 

@@ -187,7 +187,7 @@ def d11(k):
 @query("d12_posting_join", """
 SELECT query_id, chunk_id, count(*) AS shared_tokens FROM kposts JOIN kqt USING (token) GROUP BY ALL""")
 def d12(k):
-    index = bm25.postings(k.active_chunks())
+    index = k.keyword_index().postings()
     return index.join(bm25.query_tokens(k.queries()), "token").groupBy("query_id", "chunk_id").agg(
         F.count("*").alias("shared_tokens")
     )
@@ -255,14 +255,21 @@ def e2(k):
     return graph_query.table_counts(k.order_graph(stored=True))
 
 
-@query("e3_token_statistics", """
-SELECT token, df, round(idf, 6) AS idf, n_chunks, round(avg_length, 6) AS avg_length FROM kidf, kstats""")
+@query("e3_token_statistics", f"""
+WITH p AS MATERIALIZED (
+  SELECT chunk_id, {TOKENS.format('content')} AS t FROM kactive),
+c AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(t) AS token FROM p) GROUP BY token),
+s AS MATERIALIZED (SELECT count(*) AS n_chunks, avg(len(t)) AS avg_length FROM p),
+r AS MATERIALIZED (
+  SELECT token, df, n_chunks, avg_length, ln(n_chunks - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM c, s),
+m AS MATERIALIZED (SELECT 0.25::DOUBLE * round(avg(raw), 9) AS least FROM r)
+SELECT token, df, round(CASE WHEN raw < 0 THEN least ELSE raw END, 6) AS idf, n_chunks, round(avg_length, 6) AS avg_length
+FROM r, m""")
 def e3(k):
-    chunks = k.active_chunks()
-    stats = bm25.corpus_stats(chunks)
-    return bm25.token_idf(bm25.postings(chunks), stats).select(
-        "token", "df", F.round("idf", 6).alias("idf"), stats.select("n_chunks").scalar().alias("n_chunks"),
-        F.round(stats.select("avg_length").scalar(), 6).alias("avg_length"),
+    index = k.keyword_index()
+    return index.tokens.select(
+        "token", "df", F.round("idf", 6).alias("idf"), index.stats.select("n_chunks").scalar().alias("n_chunks"),
+        F.round(index.stats.select("avg_length").scalar(), 6).alias("avg_length"),
     )
 
 
@@ -338,7 +345,7 @@ def e11b(k):
 
 @query("f1_rank_in_list", "SELECT query_id, chunk_id, rank FROM kbm25")
 def f1(k):
-    return bm25.search(k.queries(), k.active_chunks()).select("query_id", "chunk_id", "rank")
+    return bm25.search(k.queries(), k.active_chunks(), index=k.keyword_index()).select("query_id", "chunk_id", "rank")
 
 
 @query("f2_first_occurrence", """

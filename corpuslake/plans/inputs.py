@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuslake.config import DEFAULTS
 from corpuslake.functions import text as tx
-from corpuslake.operators import chunking, dictionary, graph_build, maintain, ranking, vector
+from corpuslake.operators import bm25, chunking, dictionary, graph_build, maintain, ranking, vector
 from corpuslake.operators.graph_build import ENTITY, RELATION, Graph
-from corpuslake.session import cut_lineage
+from corpuslake.session import cut_lineage, path_exists, shared_base
 
 
 class Corpus:
@@ -95,12 +95,27 @@ class Corpus:
         hit = words.join(anchors, "word").where(F.contains("text", "query"))
         return hit.select("query_id", F.col("source_path").alias("source"))
 
+    def fingerprint(self) -> str:
+        """Of the ready documents, their texts included."""
+        return maintain.corpus_fingerprint(self.documents().where("status = 'ready'")).first()["fingerprint"]
+
+    def keyword_index(self) -> bm25.KeywordIndex:
+        """Stored index of the active chunks. It is found again by the fingerprint of the documents it
+        was built from, so that one build serves all queries on the same documents."""
+        fingerprint = self.fingerprint()
+        signature = f"{fingerprint}:{DEFAULTS.index_schema_version}:{DEFAULTS.bm25_k1}:{DEFAULTS.bm25_b}:{DEFAULTS.bm25_epsilon}"
+        return bm25.stored_index(self.active_chunks(), f"{shared_base(self.spark)}/keywords-{fingerprint}", signature)
+
     # --- vectors -----------------------------------------------------------
 
     def chunk_vectors(self) -> DataFrame:
-        return vector.hashed_embedding(
-            self.active_chunks().select("chunk_id", "document_id", "content"), "content"
-        )
+        """Vectors of the active chunks, stored under the fingerprint of the documents."""
+        path = f"{shared_base(self.spark)}/vectors-{self.fingerprint()}-{DEFAULTS.embedding_model}"
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            vector.hashed_embedding(
+                self.active_chunks().select("chunk_id", "document_id", "content"), "content"
+            ).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     def query_vectors(self) -> DataFrame:
         return vector.hashed_embedding(self.queries(), "query")

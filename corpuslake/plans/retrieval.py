@@ -21,7 +21,7 @@ class Index:
     chunks: DataFrame
     vectors: DataFrame
     graph: Graph | None = None
-    postings: DataFrame | None = None
+    keywords: bm25.KeywordIndex | None = None
     nfkc: bool = True
 
 
@@ -55,7 +55,7 @@ def channel_lists(
         )
         lists.append(fusion.ranked_list(hits, "vector", 0, weights[0]))
     if "bm25" not in skip:
-        hits = bm25.search(queries, index.chunks, settings, index=index.postings)
+        hits = bm25.search(queries, index.chunks, settings, index=index.keywords)
         lists.append(fusion.ranked_list(hits, "bm25", 1, weights[1]))
     if index.graph is not None and "graph" not in skip:
         hits = graph_query.search(queries, index.graph, index.chunks, settings, index.nfkc)

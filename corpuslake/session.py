@@ -26,8 +26,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "corpusl
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared folder that the cluster names.
+def shared_base(spark: SparkSession) -> str:
+    """The shared folder that the cluster names.
 
     A machine-local folder is used only when nothing is configured and the
     master is local, where driver and executors share one disk.
@@ -38,7 +38,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors reach")
         base = tempfile.mkdtemp(prefix="corpuslake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    return base
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the shared folder."""
+    return os.path.join(shared_base(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system has this path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def cut_lineage(df, purpose: str = "stage"):

@@ -27,8 +27,8 @@ def test_exact_search_in_blocks_equals_brute_force(spark):
     table = lambda m, key: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{key} long, embedding array<double>")
     scores = np.round(asked @ base.T, 6)
     want = {q: sorted(range(200), key=lambda i: (-scores[q, i], i))[:8] for q in range(9)}
-    for block in (64 << 20, 4 * 8 * 8):
-        hits = vector.search(table(asked, "query_id"), table(base, "chunk_id"), 8, block_bytes=block)
+    for block, group in ((64 << 20, 10**6), (4 * 8 * 8, 30)):
+        hits = vector.search(table(asked, "query_id"), table(base, "chunk_id"), 8, block_bytes=block, group_rows=group)
         got = {}
         for r in hits.orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.chunk_id)
@@ -45,6 +45,28 @@ def test_lsh_recall(spark):
     assert sum(r.query_id == r.chunk_id for r in best) == 20
 
 
+def test_cells_find_nine_of_ten_neighbours_in_a_tenth_of_the_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 16))
+    base = centres[rng.integers(60, size=6000)] + rng.normal(size=(6000, 16)) * 0.35
+    base[:2000] = base[0]  # a hot cell
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "chunk_id long, embedding array<double>")
+    queries = vectors.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    index = vector.inverted_file(vectors, part_rows=300)
+    assert index.parts.agg({"parts": "max"}).first()[0] > 3
+    compared = []
+    best_of = vector._score_groups
+    monkeypatch.setattr(vector, "_score_groups", lambda left, right, keys, *a: (compared.append(
+        left.groupBy(*keys).count().withColumnRenamed("count", "a").join(right.groupBy(*keys).count(), keys)
+        .selectExpr("sum(a * count)").first()[0]), best_of(left, right, keys, *a))[1])
+    found = {(r.query_id, r.chunk_id) for r in vector.search_cells(queries, index, query_rows=10).collect()}
+    scores = np.round(base[::50] @ base.T, 6)
+    want = {(50 * q, i) for q in range(120) for i in sorted(range(6000), key=lambda i: (-scores[q, i], i))[:8]}
+    assert len(found & want) >= 0.9 * len(want) and len(found) == len(want)
+    assert compared[0] < 0.1 * 120 * 6000 + 40 * 2000  # the copies ask each other
+
+
 def test_name_pairs_equal_brute_force(spark):
     queries = [(1, "who uses alpha beta"), (2, "alp"), (3, "zeta"), (4, "")]
     names = ["alpha", "alpha beta", "alp", "beta", "gamma", "zeta function", "a"]
