@@ -34,46 +34,55 @@ def relations_by_entity(graph: Graph) -> DataFrame:
 
 # --- entity search ---------------------------------------------------------
 
+GRAM = 3  # characters of a gram; shorter texts are one gram
+
+
+def _grams(text, size):
+    """Substrings of one size with their places (at, gram), from 1."""
+    return F.transform(
+        F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(
+            F.array().cast("array<int>")),
+        lambda at: F.struct(at.alias("at"), F.substring(text, at, size).alias("gram")),
+    )
+
+
+def contained(small: DataFrame, large: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Pairs (small, large) of texts where the first lies in the second.
+
+    Both tables have distinct, non-empty texts in their one column. Each small text is stored under
+    that of its grams which the large ones hold least often, and is left out where they lack one. The
+    grams of the large texts fetch the small ones, which are then compared where they would lie.
+    """
+    own = F.least(F.length("small"), F.lit(gram))
+    sizes = [r[0] for r in small.select(own).distinct().collect()]  # at most 1 to GRAM
+    places = large.select("large", F.inline(F.concat(*[_grams(F.col("large"), n) for n in sizes] or [F.array().cast(
+        "array<struct<at:int,gram:string>>")])))
+    held = places.groupBy("gram").agg(F.count("*").alias("n"))
+    of_size = F.coalesce(*[F.when(own == n, _grams(F.col("small"), n)) for n in sizes], F.array().cast(
+        "array<struct<at:int,gram:string>>"))
+    index = small.select("small", F.inline(of_size)).join(held, "gram", "left").groupBy("small").agg(F.min(F.struct(
+        F.coalesce("n", F.lit(0)).alias("n"), "gram", "at")).alias("rarest")).where("rarest.n > 0")
+    index = cut_lineage(index.select("small", "rarest.gram", F.col("rarest.at").alias("inside")), "grams")
+    start = F.col("at") - F.col("inside") + 1
+    return places.join(index, "gram").where((start >= 1) & (
+        F.substring("large", F.greatest(start, F.lit(1)), F.length("small")) == F.col("small"))).select(
+        "small", "large").distinct()
+
+
 def name_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of query and name where one holds the other, by equi joins only.
+    """Pairs of query and name where one holds the other, by equi joins on rare grams.
 
     ``queries`` has query_id and query_norm, ``names`` has name_norm.
-    A name inside a query is a substring of the query with the length of some
-    name, so the query is cut into its substrings of those lengths and joined on
-    equality; a query inside a name goes the other way round. Names are at most
-    255 characters long, which bounds the number of lengths.
     """
     names = names.select("name_norm").where("name_norm <> ''").distinct()
     asked = queries.select("query_id", "query_norm").where("query_norm <> ''")
-    lengths = names.agg(F.collect_set(F.length("name_norm"))).scalar()
-    longest = names.agg(F.max(F.length("name_norm"))).scalar()
-    cut = lambda text, size: F.explode(
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.length(text) - size + 1),
-                lambda at: F.substring(text, at, size),
-            )
-        )
-    )
-    in_query = (
-        asked.withColumn("_size", F.explode(lengths))
-        .where(F.col("_size") <= F.length("query_norm"))
-        .withColumn("name_norm", cut(F.col("query_norm"), F.col("_size")))
-        .drop("_size")
-        .join(names, "name_norm", "left_semi")
-        .select("query_id", "query_norm", "name_norm")
-    )
-    short = asked.where(F.length("query_norm") < longest)
-    query_lengths = short.agg(F.collect_set(F.length("query_norm"))).scalar()
-    in_name = (
-        names.withColumn("_size", F.explode(query_lengths))
-        .where(F.col("_size") < F.length("name_norm"))
-        .withColumn("query_norm", cut(F.col("name_norm"), F.col("_size")))
-        .drop("_size")
-        .join(short, "query_norm")
-        .select("query_id", "query_norm", "name_norm")
-    )
-    return in_query.unionByName(in_name)
+    texts = asked.select("query_norm").distinct()
+    inside = contained(names.toDF("small"), texts.toDF("large")).toDF("name_norm", "query_norm")
+    longest = names.agg(F.max(F.length("name_norm"))).first()[0] or 0
+    short = cut_lineage(texts.where(F.length("query_norm") < longest), "short")
+    around = names.limit(0).withColumn("query_norm", F.lit("")) if short.isEmpty() else contained(
+        short.toDF("small"), names.toDF("large")).where("small <> large").toDF("query_norm", "name_norm")
+    return asked.join(inside.unionByName(around), "query_norm").select("query_id", "query_norm", "name_norm")
 
 
 def search_entities(
@@ -116,6 +125,23 @@ def search_entities(
 
 # --- neighbours ------------------------------------------------------------
 
+EDGE_BLOCK = 64  # edges of an adjacency block
+
+
+def adjacency(graph: Graph, entities: DataFrame, most: int, block: int = EDGE_BLOCK) -> DataFrame:
+    """The first ``most`` relations (by relation id) of each of these entities on either side, in blocks:
+    entity_id, side, block and edges. Every task drops what lies beyond before the shuffle, so that a hub
+    costs no more than ``most`` rows a task, and no row holds more than a block."""
+    near = relations_by_entity(graph).join(entities.select("entity_id").distinct(), "entity_id", "left_semi")
+    ranked = ranking.top_k(near, ["entity_id", "side"], [F.asc("relation_id")], most, out="_at")
+    return ranked.groupBy(
+        "entity_id", F.when(F.col("side") == "subject", 0).otherwise(1).alias("side"),
+        F.floor(F.col("_at") / block).cast("int").alias("block"),
+    ).agg(F.collect_list(F.struct(
+        "relation_id", "subject_id", "predicate", "object_id", "confidence",
+        F.when(F.col("side") == "subject", F.col("object_id")).otherwise(F.col("subject_id")).alias("far"))).alias("edges"))
+
+
 def neighbors(
     seeds: DataFrame, graph: Graph, settings: Settings = DEFAULTS
 ) -> DataFrame:
@@ -123,45 +149,41 @@ def neighbors(
 
     Edges between two frontier members are skipped and the edge limit holds over
     all hops, so it is applied inside every hop: subject side first, then by
-    relation id. The row limit per query is dropped to in every task before the
-    shuffle, which keeps a hub with most of the edges cheap.
+    relation id. A frontier row carries the ids that its query has seen. As there is one
+    relation for each predicate between two entities, an entity's first
+    ``limit + predicates x seen`` edges hold all that can be among the first ``limit`` unseen ones;
+    later blocks of a hub are not opened.
     """
     limit = settings.graph_max_relations
-    edges = graph.relations.select(
-        "relation_id", "subject_id", "predicate", "object_id", "confidence"
-    )
+    kinds = max(1, graph.relations.select("predicate").distinct().count())
     ends = graph.entities.select("entity_id", "canonical_name", "entity_type")
     frontier = cut_lineage(seeds.select("query_id", "entity_id").distinct())
     visited, used, hops = None, None, []
 
     for hop in range(1, settings.graph_max_hops + 1):
         blocked = frontier if visited is None else frontier.unionByName(visited)
+        seen = blocked.groupBy("query_id").agg(F.collect_set("entity_id").alias("seen"))
+        asking = cut_lineage(frontier.join(seen, "query_id").withColumn(
+            "needed", limit + kinds * F.size("seen")), "frontier")
+        most = asking.agg(F.max("needed")).first()[0] or 0
+        blocks = adjacency(graph, asking, most)
+        opened = asking.join(blocks, "entity_id").where(F.col("block") * EDGE_BLOCK < F.col("needed"))
+        reach = opened.select("query_id", "side", F.inline(tx.once(F.col("seen"), lambda own: F.filter(
+            "edges", lambda e: ~F.array_contains(own, e["far"]))))).drop("far")
 
-        def side(near: str, far: str, order: int) -> DataFrame:
-            reach = edges.join(
-                frontier.withColumnRenamed("entity_id", near), near
-            ).join(
-                blocked.withColumnRenamed("entity_id", far), ["query_id", far], "left_anti"
-            )
-            return left_over(
-                reach.withColumn("side", F.lit(order)), [F.asc("relation_id")]
-            )
-
-        def left_over(rows: DataFrame, order: list) -> DataFrame:
-            first = ranking.top_k(rows, ["query_id"], order, limit, out="_at")
+        def left_over(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+            first = ranking.top_k(rows, keys, order, limit, out="_at")
             if used is not None:
                 first = first.join(used, "query_id", "left").where(
                     F.col("_at") < limit - F.coalesce("_used", F.lit(0))
                 ).drop("_used")
             return first.drop("_at")
 
-        both = side("subject_id", "object_id", 0).unionByName(
-            side("object_id", "subject_id", 1)
-        )
-        named = both.join(
+        first = left_over(reach, ["query_id", "side"], [F.asc("relation_id")])
+        named = first.join(
             ends.toDF("subject_id", "subject_name", "subject_type"), "subject_id"
         ).join(ends.toDF("object_id", "object_name", "object_type"), "object_id")
-        kept = left_over(named, [F.asc("side"), F.asc("relation_id")]).withColumn(
+        kept = left_over(named, ["query_id"], [F.asc("side"), F.asc("relation_id")]).withColumn(
             "hop", F.lit(hop)
         )
         # The next hop needs these few rows several times; kept as a table, they are
