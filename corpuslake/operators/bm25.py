@@ -23,6 +23,7 @@ CHUNK_COLUMNS = ["chunk_id", "document_id", "chunk_index"]
 BLOCK = 64  # postings of a block
 SHARD = 1 << 20  # chunks of a shard; a token's postings are ranked shard by shard
 SLACK = 1e-5  # scores are rounded to six places
+LOOKED_UP = 0.25  # part of the score to reach that tokens may add which only candidates are looked up for
 
 
 def term_counts(tokens: Column) -> Column:
@@ -152,15 +153,12 @@ def query_tokens(queries: DataFrame, tokenizer=tx.tokens) -> DataFrame:
 
 
 def scored(pairs: DataFrame, weighted: DataFrame, index: KeywordIndex) -> DataFrame:
-    """Full BM25 scores of pairs (query_id, chunk_no)."""
+    """Full BM25 scores of pairs (query_id, chunk_no), from the terms of the chunks."""
     average = F.lit(index.stats.first()["avg_length"]).cast("double")
-    asked = weighted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("_asked"))
-    rows = pairs.join(index.forward, "chunk_no").join(asked, "query_id")
-    found = F.map_from_entries(F.transform("terms", lambda t: F.struct(
-        t["token"].alias("k"), impact(t["tf"], F.col("length"), average, index.settings).alias("v"))))
-    total = tx.once(found, lambda m: F.aggregate("_asked", F.lit(0.0), lambda s, a: s + F.coalesce(
-        a["weight"] * F.try_element_at(m, a["token"]), F.lit(0.0))))
-    return rows.select("query_id", "chunk_no", *CHUNK_COLUMNS, F.round(total, 6).alias("score"))
+    terms = pairs.join(index.forward, "chunk_no").select("query_id", "chunk_no", *CHUNK_COLUMNS, "length", F.inline("terms"))
+    gain = F.col("weight") * impact(F.col("tf"), F.col("length"), average, index.settings)
+    return terms.join(weighted.select("query_id", "token", "weight"), ["query_id", "token"]).groupBy(
+        "query_id", "chunk_no", *CHUNK_COLUMNS).agg(F.round(F.sum(gain), 6).alias("score"))
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -196,11 +194,15 @@ def search(
     known = _best(scored(cut_lineage(leaders, "leaders"), weighted, index), k)
     reached = cut_lineage(known.where(F.col("rank") == k - 1).select("query_id", (F.col("score") - SLACK).alias("reached")), "reached")
 
-    # A chunk that reaches it holds an essential token: the others together stay below. And in a block
-    # of that token whose bound, with all that other tokens could add, comes up to it.
+    # A chunk that reaches it holds an essential token: the others, the commonest, together stay below a part of it.
+    # It lies in blocks of essential tokens whose bound, with all that other tokens could add, comes up to
+    # it; and what they give it, with all that the commonest could add, comes up to it.
     bounds = weighted.where("weight > 0").join(reached, "query_id", "left").fillna(0.0, ["reached"])
-    bounds = bounds.where("upto >= reached").select(
-        "query_id", "token", "weight", (F.col("reached") - F.col("total") + F.col("most")).alias("needed"))
-    opened = index.blocks.join(bounds, "token").where(F.col("weight") * F.col("top") >= F.col("needed"))
-    pairs = cut_lineage(opened.select("query_id", F.inline("members")).select("query_id", "chunk_no").distinct(), "pairs")
+    bounds = bounds.withColumn("essential", F.col("upto") >= LOOKED_UP * F.col("reached"))
+    bounds = bounds.withColumn("rest", F.sum(F.when(F.col("essential"), 0.0).otherwise(add)).over(own)).where("essential")
+    opened = index.blocks.join(bounds, "token").where(
+        F.col("weight") * F.col("top") >= F.col("reached") - F.col("total") + F.col("most"))
+    given = opened.select("query_id", "weight", "reached", "rest", F.inline("members")).groupBy("query_id", "chunk_no").agg(
+        F.sum(F.col("weight") * F.col("impact")).alias("part"), F.max(F.col("reached") - F.col("rest")).alias("least"))
+    pairs = cut_lineage(given.where(F.col("part") >= F.col("least") - SLACK).select("query_id", "chunk_no"), "pairs")
     return _best(scored(pairs, weighted, index), k).drop("chunk_no")
