@@ -20,6 +20,7 @@ from corpuslake.operators import ranking
 from corpuslake.session import cut_lineage, path_exists, shared_dir
 
 CHUNK_COLUMNS = ["chunk_id", "document_id", "chunk_index"]
+FORMAT = 1  # of the stored tables; an index of another one is not opened
 BLOCK = 64  # postings of a block
 SHARD = 1 << 20  # chunks of a shard; a token's postings are ranked shard by shard
 SLACK = 1e-5  # scores are rounded to six places
@@ -105,7 +106,7 @@ def open_index(spark: SparkSession, path: str, signature: str, settings: Setting
     if not path_exists(spark, f"{path}/ready/_SUCCESS"):
         return None
     known = spark.read.schema("signature string").parquet(f"{path}/ready").first()
-    if known is None or known[0] != signature:
+    if known is None or known[0] != f"{FORMAT}:{signature}":
         return None
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     return KeywordIndex(read("forward"), read("tokens"), read("blocks"), read("stats"), signature, settings)
@@ -133,7 +134,7 @@ def write_index(
     ranked.groupBy("token", "shard", "block").agg(
         F.max("impact").alias("top"), F.collect_list(F.struct("chunk_no", "impact")).alias("members"),
     ).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/blocks")
-    spark.createDataFrame([(signature,)], "signature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/ready")
+    spark.createDataFrame([(f"{FORMAT}:{signature}",)], "signature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/ready")
     return open_index(spark, path, signature, settings)
 
 

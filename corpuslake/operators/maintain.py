@@ -296,6 +296,9 @@ class Synced:
     chunks: DataFrame
     changes: DataFrame
     failures: DataFrame
+    fresh: DataFrame  # chunks of added and modified files
+    replaced: DataFrame  # document_id whose earlier chunks are gone
+    touched: DataFrame  # document_id whose document row is new or changed
 
 
 def sync(
@@ -354,7 +357,8 @@ def sync(
     documents = (
         kept.select(*indexed.columns).unionByName(indexed).unionByName(first_failures)
     )
-    return Synced(documents, chunks, changes, failures)
+    touched = replaced.unionByName(failures.select("document_id")).distinct()
+    return Synced(documents, chunks, changes, failures, fresh, replaced, touched)
 
 
 def sync_report(synced: Synced) -> DataFrame:

@@ -71,16 +71,41 @@ def _embed(chunks):
     return vector.hashed_embedding(chunks.select("chunk_id", "document_id", "content"), "content")
 
 
-@query("m3_replace_documents")
-def m3(k):
-    """Two syncs over the store; the second replaces the changed documents."""
+def _two_syncs(k):
     target = _store(k)
     first = k.documents().withColumn(
         "text", F.when(F.col("lang") == "de", F.concat(F.lit("old "), "text")).otherwise(F.col("text"))
     ).withColumn("file_hash", F.sha2("text", 256))
     target.sync("g1", _store_files(k, first), chunking.line_chunks, _embed)
     target.sync("g2", _store_files(k, k.documents()), chunking.line_chunks, _embed)
-    return target.read("chunks", "g2").select("chunk_id", "document_id", "chunk_index")
+    return target
+
+
+@query("m3_replace_documents", "SELECT chunk_id, document_id, chunk_index FROM kchunks")
+def m3(k):
+    """Two syncs over the store; the second replaces the changed documents."""
+    return _two_syncs(k).read("chunks", "g2").select("chunk_id", "document_id", "chunk_index")
+
+
+@query("m3_delta_rows", """
+SELECT chunk_id, document_id FROM kchunks JOIN kdocs USING (document_id) WHERE lang = 'de'""")
+def m3b(k):
+    """What the second sync wrote: rows of changed documents only."""
+    return _two_syncs(k)._stored("vectors").where("generation = 'g2'").select("chunk_id", "document_id")
+
+
+@query("m2_dry_run", """
+SELECT count(*) FILTER (WHERE lang <> 'es') AS modified, count(*) FILTER (WHERE lang = 'es') AS added,
+       (SELECT count(*) FROM kdocs JOIN kchunks USING (document_id) WHERE lang <> 'es') AS n_chunks FROM kdocs""")
+def m2b(k):
+    """What a sync would do, and that it did nothing."""
+    target, docs = _store(k), k.documents()
+    older = docs.where("lang <> 'es'").withColumn("file_hash", F.concat(F.lit("old"), "file_hash"))
+    target.sync("g1", _store_files(k, older), chunking.line_chunks, _embed)
+    told = target.sync("g2", _store_files(k, docs), chunking.line_chunks, _embed, dry_run=True)
+    added = docs.where("lang = 'es'").count()
+    return target.read("chunks", target.active()).agg(F.count("*").alias("n_chunks")).select(
+        F.lit(told["indexed"] - added).alias("modified"), F.lit(added).alias("added"), "n_chunks")
 
 
 @query("m4_publish", """
@@ -152,7 +177,21 @@ def m7(k):
     return _audit(k, "g1")
 
 
-@query("m7_rollback")
+@query("m7_rollback_accepted", """
+SELECT g AS generation, (SELECT count(*) FROM kchunks) AS count, g = 'g1' AS is_active FROM (VALUES ('g1'), ('g2')) t(g)""")
+def m7c(k):
+    """Nothing changed between two generations, so that the older one may be active again."""
+    target = _store(k)
+    for name in ("g1", "g2"):
+        target.sync(name, _store_files(k, k.documents()), chunking.line_chunks, _embed)
+    target.rollback("g1")
+    return target.catalogue()
+
+
+@query("m7_rollback", """
+SELECT 'g1' AS generation, (SELECT count(*) FROM kchunks JOIN kdocs USING (document_id) WHERE lang <> 'es') AS count,
+       false AS is_active, 'error' AS rollback
+UNION ALL SELECT 'g2', (SELECT count(*) FROM kchunks), true, 'error'""")
 def m7b(k):
     """A rollback to a generation with other ids is refused and changes nothing."""
     target = _store(k)
@@ -162,7 +201,9 @@ def m7b(k):
     return target.catalogue().withColumn("rollback", F.lit(refused["status"]))
 
 
-@query("m8_cleanup_generation")
+@query("m8_cleanup_generation", """
+SELECT 'g2' AS generation, (SELECT count(*) FROM kchunks) AS count, true AS is_active, 'error' AS active_cleanup,
+       'completed' AS old_cleanup""")
 def m8(k):
     target = _store(k)
     target.sync("g1", _store_files(k, k.documents().where("lang <> 'es'")), chunking.line_chunks, _embed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,17 +10,15 @@ from pyspark.sql import functions as F
 
 from corpuslake.config import DEFAULTS, Settings
 from corpuslake.operators import maintain
+from corpuslake.operators.graph_build import Graph, clean_orphans, drop_documents
 from corpuslake.schemas import (
     CHUNK_VECTORS,
     INDEX_STATE,
     KNOWLEDGE_CHUNKS,
     KNOWLEDGE_DOCUMENTS,
+    row,
 )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+from corpuslake.session import path_exists
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -27,52 +26,112 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+MANIFEST = row(generation="string", parent="string", stored_as="string", seq="bigint")
+REMOVED = row(document_id="string", scope="string", generation="string")
+
+
 @dataclass
 class Store:
-    """Tables ``documents``, ``chunks`` and ``vectors``, partitioned by
-    generation, and an append-only pointer table ``state``; the newest pointer
-    row names the active generation. A crash before the pointer is written
+    """Tables ``documents``, ``chunks`` and ``vectors`` by generation, and an append-only pointer table
+    ``state``; the newest pointer row names the active generation.
+
+    A generation holds only what changed since its parent: new rows, and in ``removed`` the documents whose
+    earlier rows are gone (scope ``rows``: chunks and vectors, ``documents``: the document row). Reading
+    merges the chain from the oldest to the newest. ``manifest`` names the parent of a generation
+    and the partition it is stored as; its newest row counts, so that a generation is rewritten as a whole
+    (``compact``) without a moment at which it is incomplete. A crash before the pointer is written
     leaves an unused partition and the old generation active."""
 
     spark: SparkSession
     root: str
     settings: Settings = DEFAULTS
+    longest_chain: int = 8
 
     TABLES = {
         "documents": KNOWLEDGE_DOCUMENTS,
         "chunks": KNOWLEDGE_CHUNKS,
         "vectors": CHUNK_VECTORS,
+        "removed": REMOVED,
     }
 
-    def read(self, table: str, generation: str | None = None) -> DataFrame:
-        """Rows of one generation (partition-pruned) or of all of them."""
+    def _stored(self, table: str) -> DataFrame:
+        """All rows of a table as they are stored; ``generation`` is the partition."""
         schema = self.TABLES[table]
         if "generation" not in schema.names:
             schema = type(schema)(list(schema.fields)).add("generation", "string")
         path = f"{self.root}/{table}"
-        if not _exists(self.spark, path):
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(path)
-        return rows if generation is None else rows.where(F.col("generation") == generation)
+        return self.spark.read.schema(schema).parquet(path)
 
-    def write(self, table: str, rows: DataFrame, generation: str) -> None:
-        """Replace one generation of a table; other generations stay.
+    def write(self, table: str, rows: DataFrame, stored_as: str) -> None:
+        """Replace one partition of a table; others stay.
 
         The commit protocol makes a partial write invisible, and writing the
         same rows again gives the same partition.
         """
         columns = [name for name in self.TABLES[table].names if name != "generation"]
         (
-            rows.select(*columns).withColumn("generation", F.lit(generation))
+            rows.select(*columns).withColumn("generation", F.lit(stored_as))
             .write.partitionBy("generation").mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{table}")
         )
 
+    # --- manifest ----------------------------------------------------------
+
+    def manifest(self) -> dict[str, tuple[str | None, str]]:
+        """Parent and partition of every generation (a few rows)."""
+        path = f"{self.root}/manifest"
+        if not path_exists(self.spark, path):
+            return {}
+        known: dict = {}
+        for r in self.spark.read.schema(MANIFEST).parquet(path).orderBy("seq").collect():
+            known.pop(r["generation"], None)
+            if r["stored_as"] is not None:
+                known[r["generation"]] = (r["parent"], r["stored_as"])
+        return known
+
+    def register(self, generation: str, parent: str | None, stored_as: str | None) -> None:
+        path = f"{self.root}/manifest"
+        last = self.spark.read.schema(MANIFEST).parquet(path).agg(F.max("seq")).first()[0] if path_exists(self.spark, path) else 0
+        self.spark.createDataFrame([(generation, parent, stored_as, last + 1)], MANIFEST).coalesce(1).write.mode(
+            "append").parquet(path)
+
+    def chain(self, generation: str) -> list[str]:
+        """Partitions that make up a generation, the newest first."""
+        known, names = self.manifest(), []
+        while generation is not None and generation in known:
+            generation, stored_as = known[generation]
+            names.append(stored_as)
+        return names
+
+    def read(self, table: str, generation: str) -> DataFrame:
+        """Rows of one generation, merged from its chain (partition-pruned)."""
+        names = self.chain(generation)
+        rows = self._stored(table).where(F.col("generation").isin(names) if names else F.lit(False))
+        if len(names) > 1:
+            age = F.array_position(F.lit(names), F.col("generation"))
+            scope = "documents" if table == "documents" else "rows"
+            gone = self._stored("removed").where(F.col("generation").isin(names) & (F.col("scope") == scope))
+            gone = gone.groupBy("document_id").agg(F.min(age).alias("_gone"))
+            rows = rows.withColumn("_age", age).join(gone, "document_id", "left").where(
+                "_gone is null or _age <= _gone").drop("_age", "_gone")
+        return rows.withColumn("generation", F.lit(generation)).select(*self._stored(table).columns)
+
+    def compact(self, generation: str) -> None:
+        """Store a generation whole: it no longer needs its parents."""
+        if len(self.chain(generation)) < 2:
+            return
+        stored_as = f"{generation}~{uuid.uuid4().hex[:8]}"
+        for table in ("documents", "chunks", "vectors"):
+            self.write(table, self.read(table, generation), stored_as)
+        self.register(generation, None, stored_as)
+
     # --- pointer -----------------------------------------------------------
 
     def state(self) -> DataFrame:
         path = f"{self.root}/state"
-        if not _exists(self.spark, path):
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], INDEX_STATE)
         return self.spark.read.schema(INDEX_STATE).parquet(path)
 
@@ -128,6 +187,11 @@ class Store:
         self.write("documents", documents, generation)
         self.write("chunks", chunks, generation)
         self.write("vectors", vectors, generation)
+        self.register(generation, None, generation)
+        return self._audited(generation)
+
+    def _audited(self, generation: str) -> dict:
+        """Switch to a generation if its vectors equal its chunks; else remove it."""
         stored = self.read("chunks", generation)
         ready = maintain.active_chunks(stored, self.read("documents", generation))
         report = maintain.audit(ready, self.read("vectors", generation)).first()
@@ -144,43 +208,59 @@ class Store:
         return {"status": "completed", "generation": generation, "old_generation": old,
                 "total_chunks": staged}
 
-    def sync(self, generation: str, files: DataFrame, chunker, embedder) -> dict:
-        """Incremental sync: only changed files are chunked and embedded again."""
+    def sync(
+        self, generation: str, files: DataFrame, chunker, embedder, dry_run: bool = False, graph: Graph | None = None,
+    ) -> dict:
+        """Incremental sync: only changed files are chunked and embedded, once, and only their rows are
+        written. A dry run tells what would change and writes nothing. With a graph, the answer also holds it
+        without what came from replaced documents (``graph``)."""
         active = self.active()
-        if active is None:
-            stored = self.spark.createDataFrame([], KNOWLEDGE_DOCUMENTS)
-            old_chunks = self.spark.createDataFrame([], KNOWLEDGE_CHUNKS)
-            old_vectors = self.spark.createDataFrame([], CHUNK_VECTORS)
-        else:
-            stored = self.read("documents", active).drop("generation")
-            old_chunks = self.read("chunks", active).drop("generation")
-            old_vectors = self.read("vectors", active)
-        done = maintain.sync(files, stored, old_chunks, chunker, self.settings)
-        if active is None and not done.failures.isEmpty():
-            return self.publish(generation, done.documents, done.chunks, old_vectors,
-                                done.failures)
-        known = old_vectors.join(done.chunks.select("chunk_id"), "chunk_id", "left_semi")
-        new = embedder(done.chunks.join(old_vectors.select("chunk_id"), "chunk_id", "left_anti"))
-        columns = ["chunk_id", "document_id", "embedding"]
-        outcome = self.publish(
-            generation, done.documents, done.chunks,
-            known.select(*columns).unionByName(new.select(*columns)),
-        )
-        return {**maintain.sync_report(done).first().asDict(), **outcome,
-                "sync_status": "partial" if not done.failures.isEmpty() else "completed"}
+        if generation == active:
+            raise ValueError(f"refusing to overwrite the active generation {generation}")
+        if active is not None and not dry_run and len(self.chain(active)) >= self.longest_chain:
+            self.compact(active)
+        stored = self.read("documents", active).drop("generation")
+        old_chunks = self.read("chunks", active).drop("generation")
+
+        def staged(readable: DataFrame) -> DataFrame:
+            if dry_run:
+                return old_chunks.limit(0)
+            self.write("chunks", chunker(readable), generation)
+            return self._stored("chunks").where(F.col("generation") == generation).drop("generation")
+
+        done = maintain.sync(files, stored, old_chunks, staged, self.settings)
+        report = maintain.sync_report(done).first().asDict()
+        if dry_run:
+            return {**report, "sync_status": "dry_run"}
+        if active is None and report["failed"]:
+            _delete(self.spark, f"{self.root}/chunks/generation={generation}")
+            return self.publish(generation, done.documents, done.chunks, old_chunks, done.failures)
+        scoped = lambda ids, scope: ids.select("document_id", F.lit(scope).alias("scope"))
+        self.write("removed", scoped(done.replaced, "rows").unionByName(scoped(done.touched, "documents")), generation)
+        self.write("documents", done.documents.join(done.touched, "document_id", "left_semi"), generation)
+        self.write("vectors", embedder(done.fresh), generation)
+        self.register(generation, active, generation)
+        outcome = self._audited(generation)
+        if graph is not None:
+            outcome["graph"] = clean_orphans(drop_documents(graph, self._stored("removed").where(
+                (F.col("generation") == generation) & (F.col("scope") == "rows"))))
+        return {**report, **outcome, "sync_status": "partial" if report["failed"] else "completed"}
 
     # --- rollback and clean-up ---------------------------------------------
 
     def catalogue(self) -> DataFrame:
         pointer = self.state().orderBy(F.desc("seq")).limit(1)
-        return maintain.generation_catalogue(self.read("vectors"), pointer)
+        vectors = self._stored("vectors").limit(0)
+        for generation in self.manifest():
+            vectors = vectors.unionByName(self.read("vectors", generation))
+        return maintain.generation_catalogue(vectors, pointer)
 
     def readiness(self) -> DataFrame:
         active = self.active()
         chunks = maintain.active_chunks(
             self.read("chunks", active), self.read("documents", active)
         )
-        return maintain.readiness(active, self.read("vectors"), chunks)
+        return maintain.readiness(active, self.read("vectors", active), chunks)
 
     def rollback(self, generation: str) -> dict:
         """Point back to a generation only if its ids equal the current chunks."""
@@ -208,7 +288,13 @@ class Store:
         return {"status": "completed", "deleted_generation": generation}
 
     def discard(self, generation: str) -> None:
-        if generation == self.active():
+        """Remove a generation; those that build on it are stored whole first."""
+        known = self.manifest()
+        if generation == self.active() or generation not in known:
             return
+        for child, (parent, _) in known.items():
+            if parent == generation:
+                self.compact(child)
+        self.register(generation, None, None)
         for table in self.TABLES:
-            _delete(self.spark, f"{self.root}/{table}/generation={generation}")
+            _delete(self.spark, f"{self.root}/{table}/generation={known[generation][1]}")

@@ -13,8 +13,7 @@ from corpuslake.config import DEFAULTS, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import chunking, maintain
 from corpuslake.schemas import DUPLICATES, KNOWLEDGE_CHUNKS, KNOWLEDGE_DOCUMENTS
-from corpuslake.session import cut_lineage
-from corpuslake.sources.store import _exists
+from corpuslake.session import cut_lineage, path_exists
 
 
 def _with(schema: StructType, *columns: str) -> StructType:
@@ -41,7 +40,7 @@ class StreamTables:
     CHUNKS = _with(KNOWLEDGE_CHUNKS, "batch_id")
     def _read(self, table: str, schema: StructType) -> DataFrame:
         path = f"{self.root}/{table}"
-        if not _exists(self.spark, path):
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 

@@ -94,3 +94,39 @@ def test_stream_replay_duplicates_and_retry(spark):
         assert {(r.source_path, r.status, r.chunk_batch) for r in tables.documents().collect()} == {
             ("a", "ready", 0), ("c", "ready", 1)}
         assert {r.content for r in tables.chunks().collect()} == {"one", "now whole"}
+
+
+def test_deltas_chains_and_compaction(spark):
+    store = Store(spark, shared_dir(spark, "store"), longest_chain=3)
+    texts = {f"d{i}": f"line one of {i}\nline two of {i}" for i in range(6)}
+    runs = []
+    chunker = lambda docs: runs.append(1) or chunking.line_chunks(docs)
+    for n in range(6):
+        texts[f"d{n}"] = f"new text {n}"
+        if n == 4:
+            del texts["d0"]
+        files = docs(spark, [(d, f"{d}.txt", t) for d, t in texts.items()])
+        planned = store.sync(f"g{n}", files, chunker, embed, dry_run=True)
+        assert planned["sync_status"] == "dry_run" and store.active() == (f"g{n - 1}" if n else None)
+        out = store.sync(f"g{n}", files, chunker, embed)
+        assert out["status"] == "completed" and planned["indexed"] == out["indexed"] == (6 if n == 0 else 1)
+        assert len(runs) == n + 1 and len(store.chain(f"g{n}")) <= 3
+        want = sorted(line for t in texts.values() for line in t.split("\n"))
+        assert sorted(r.content for r in store.read("chunks", f"g{n}").collect()) == want
+        assert store._stored("chunks").where(f"generation = 'g{n}'").count() == (11 if n == 0 else 1)
+        assert store.readiness().first().status == "ok"
+    assert store.read("documents", "g5").where("status = 'deleted'").count() == 1
+    before = sorted(map(tuple, store.read("chunks", "g3").collect()))
+    assert store.cleanup("g2")["status"] == "completed" and store.cleanup("g1")["status"] == "completed"
+    assert sorted(map(tuple, store.read("chunks", "g3").collect())) == before
+    assert {r.generation for r in store.catalogue().collect()} == {"g0", "g3", "g4", "g5"}
+
+
+def test_a_failed_document_keeps_its_chunks_in_a_delta(spark):
+    store = Store(spark, shared_dir(spark, "store"))
+    store.sync("g1", docs(spark, [("a", "a.txt", "one"), ("b", "b.txt", "two")]), chunking.line_chunks, embed)
+    out = store.sync("g2", docs(spark, [("a", "a.txt", " "), ("b", "b.txt", "two")]), chunking.line_chunks, embed)
+    assert out["sync_status"] == "partial"
+    assert sorted(r.content for r in store.read("chunks", "g2").collect()) == ["one", "two"]
+    rows = {r.document_id: r for r in store.read("documents", "g2").collect()}
+    assert rows["a"].error_message and not rows["b"].error_message and len(rows) == 2
