@@ -11,7 +11,7 @@ from functools import reduce
 from typing import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.config import DEFAULTS, Settings
@@ -139,17 +139,35 @@ def rerank(
     scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None,
     k: int = DEFAULTS.rerank_top_k,
 ) -> DataFrame:
-    """Best ``k`` by a pluggable scorer on (original query, chunk text)."""
+    """Best ``k`` by a pluggable scorer on (original query, chunk text).
+
+    Where the scorer fails, the questions of that batch keep all their candidates, by
+    fusion score and marked as degraded.
+    """
     if scorer is None:
         return rerank_passthrough(candidates, k)
-    run = F.pandas_udf(scorer, "double")
+
+    @F.pandas_udf("score double, failed boolean")
+    def run(asked: pd.Series, text: pd.Series) -> pd.DataFrame:
+        try:
+            scores = pd.Series(scorer(asked, text), dtype="float64").reset_index(drop=True)
+            if len(scores) != len(text):
+                raise ValueError(f"{len(scores)} scores for {len(text)} texts")
+        except Exception:  # degraded, and marked so in the rows
+            return pd.DataFrame({"score": [None] * len(text), "failed": True})
+        return pd.DataFrame({"score": scores, "failed": False})
+
+    own = Window.partitionBy("query_id")  # a question's few candidates
     scored = candidates.join(queries.select("query_id", "query"), "query_id").withColumn(
-        "rerank_score", run(F.col("query"), F.col("content"))
+        "_s", run(F.col("query"), F.col("content"))
+    ).withColumn("reranker_degraded", F.max("_s.failed").over(own))
+    by = F.when(F.col("reranker_degraded"), F.col("fusion_score")).otherwise(F.col("_s.score"))
+    ranked = ranking.top_k(
+        scored.withColumn("rerank_score", by).withColumnRenamed("rank", "_rank"),
+        ["query_id"], [F.desc("rerank_score"), F.asc("_rank")], None,
     )
-    return ranking.top_k(
-        scored.withColumnRenamed("rank", "_rank"),
-        ["query_id"], [F.desc("rerank_score"), F.asc("_rank")], k,
-    ).drop("_rank", "query").withColumn("reranker_degraded", F.lit(False))
+    return ranked.where(F.col("reranker_degraded") | (F.col("rank") < k)).withColumn(
+        "rerank_score", F.col("_s.score")).drop("_rank", "query", "_s")
 
 
 def attach_chunks(candidates: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from corpuslake.functions import text as tx
 from corpuslake.operators import bm25, context, evaluate, fusion, vector
 from corpuslake.plans.registry import query
 from corpuslake.plans.retrieval import (
-    Index, candidates, channel_lists, retrieve, retrieve_multi, rewritten, two_channel_weights,
+    Index, answer_contexts, candidates, channel_lists, reranked, retrieve, retrieve_multi, rewritten, two_channel_weights,
 )
 from corpuslake.plans.views import fused, summary_rows
 from corpuslake.session import cut_lineage, shared_dir
@@ -135,7 +135,19 @@ def k9b(k):
 SELECT query_id, 1 AS list_pos, 'bm25' AS channel, 1.0::DOUBLE - 0.7::DOUBLE AS weight, rank, chunk_id,
        NULL::VARCHAR[] AS facts, NULL::DOUBLE AS gs FROM kbm25""") + ")")
 def k10(k):
-    return shown(retrieve(k.queries(), text_index(k), skip=("vector",)))
+    """An embedding service that cannot be reached: the other channel answers alone."""
+    def unreachable(batch):
+        raise ConnectionError("no embedding service")
+
+    def embedder(queries):
+        schema = "query_id bigint, embedding array<double>"
+        return queries.select("query_id").mapInPandas(lambda frames: map(unreachable, frames), schema)
+
+    failures = []
+    found = retrieve(k.queries(), text_index(k), embedder=embedder, failures=failures)
+    if [name for name, _ in failures] != ["vector"]:
+        raise AssertionError(f"the vector channel should have failed alone: {failures}")
+    return shown(found)
 
 
 @query("k11_first_seen", """
@@ -220,10 +232,22 @@ def o2(k):
     )
 
 
+@query("o2_rerank_failure", """
+SELECT query_id, chunk_id, rank, true AS degraded FROM f2""")
+def o2b(k):
+    """A scorer that fails: all candidates stay, by fusion score."""
+    def broken(question: pd.Series, text: pd.Series) -> pd.Series:
+        raise TimeoutError("no answer")
+
+    return fusion.rerank(candidates(k.queries(), text_index(k)), k.queries(), broken).select(
+        "query_id", "chunk_id", "rank", F.col("reranker_degraded").alias("degraded"))
+
+
 # --- context ---------------------------------------------------------------
 
 def ranked_candidates(k):
-    return candidates(k.queries(), full_index(k))
+    """What goes into contexts: the reranked candidates."""
+    return reranked(k.queries(), full_index(k))
 
 
 @query("l1_context_dedup", "SELECT query_id, chunk_id, rank FROM deduped")
@@ -252,7 +276,7 @@ def l3(k):
 
 @query("l4_context_text", "SELECT query_id, context FROM contexts")
 def l4(k):
-    return context.build_context(ranked_candidates(k), k.queries()).select("query_id", "context")
+    return answer_contexts(k.queries(), full_index(k)).select("query_id", "context")
 
 
 @query("l5_source_entries", """
@@ -260,7 +284,7 @@ SELECT query_id, citation_id, document_id, chunk_id, source, NULL::BIGINT AS pag
        substr(content, 1, 200) AS preview, channels AS retrieval_channels,
        array_to_string(graph_facts, '; ') AS graph_facts, round(fusion_score, 6) AS fusion_score FROM blocks""")
 def l5(k):
-    built = context.build_context(ranked_candidates(k), k.queries())
+    built = answer_contexts(k.queries(), full_index(k))
     return built.select("query_id", F.inline("sources")).withColumns({
         "retrieval_channels": F.array_join("retrieval_channels", ","),
         "graph_facts": F.array_join("graph_facts", "; "),
@@ -272,7 +296,7 @@ def l5(k):
 SELECT query_id, string_agg(source, ',' ORDER BY p) AS sources FROM (
   SELECT query_id, source, min(place) AS p FROM blocks GROUP BY ALL) GROUP BY 1""")
 def i15(k):
-    built = context.build_context(ranked_candidates(k), k.queries())
+    built = answer_contexts(k.queries(), full_index(k))
     return built.where(F.size("sources") > 0).select(
         "query_id",
         F.array_join(
@@ -287,7 +311,7 @@ SELECT c.query_id, 1 AS schema_version, c.query AS original_query, c.query AS re
 FROM contexts c LEFT JOIN (SELECT query_id, count(*) AS n FROM blocks WHERE len(graph_facts) > 0 GROUP BY 1) b USING (query_id)""")
 def a9(k):
     root = shared_dir(k.spark, "snapshots")
-    tables.write_snapshots(context.build_context(ranked_candidates(k), k.queries()), root)
+    tables.write_snapshots(answer_contexts(k.queries(), full_index(k)), root)
     kept = (
         "query_id bigint, schema_version int, original_query string, retrieval_query string, "
         "llm_input struct<context:string>, context_character_count int, "
@@ -312,7 +336,7 @@ def top_two(k):
 
 def top_three(k):
     return cut_lineage(
-        fusion.rerank_passthrough(ranked_candidates(k)).select("query_id", "rank", "source"), "ranked"
+        ranked_candidates(k).select("query_id", "rank", "source"), "ranked"
     )
 
 
@@ -374,7 +398,7 @@ SELECT c.query_id, CASE WHEN len(u.answer_keywords) = 0 THEN 0.0::DOUBLE ELSE
 
 def answers(k):
     """The cited context itself as the answer, kept on the shared folder."""
-    return cut_lineage(context.build_context(ranked_candidates(k), k.queries()), "contexts")
+    return cut_lineage(answer_contexts(k.queries(), full_index(k)), "contexts")
 
 
 def keyword_scores(k, contexts):
@@ -398,6 +422,18 @@ def p6(k):
     )
 
 
+@query("p6_failed_questions", """
+SELECT m.query_id, CASE WHEN unanswerable THEN 0.0::DOUBLE ELSE recall_at_5 END AS recall_at_5,
+       CASE WHEN unanswerable THEN 0.0::DOUBLE ELSE source_hit END AS source_hit,
+       CASE WHEN unanswerable THEN 'error' ELSE 'ok' END AS status, CASE WHEN unanswerable THEN 'no source' END AS error
+FROM m3 m JOIN kquestions u USING (query_id)""")
+def p6b(k):
+    """Questions without a source fail: they stay, as errors with metrics of zero."""
+    failed = k.questions().where("unanswerable").select("query_id", F.lit("no source").alias("error"))
+    return evaluate.with_failures(metrics_three(k), failed).select(
+        "query_id", "recall_at_5", "source_hit", "status", "error")
+
+
 def context_sources(contexts):
     return contexts.select("query_id", F.posexplode("sources").alias("rank", "s")).select(
         "query_id", "rank", F.col("s.source").alias("source")

@@ -12,6 +12,7 @@ from corpuslake.config import DEFAULTS, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import bm25, context, fusion, graph_query, vector
 from corpuslake.operators.graph_build import Graph
+from corpuslake.session import cut_lineage
 
 
 @dataclass
@@ -36,11 +37,13 @@ def channel_lists(
     weights: tuple[float, float, float] | None = None,
     embedder: Callable[[DataFrame], DataFrame] = embed_queries,
     skip: tuple[str, ...] = (),
+    failures: list[tuple[str, str]] | None = None,
 ) -> list[DataFrame]:
     """Ranked lists of vector, keyword and graph search, in this order.
 
     Without a graph there are two channels. A channel named in ``skip`` is left
-    out, as an empty list would be.
+    out, as an empty list would be. With ``failures``, a channel that fails is left out too and
+    put down there with its error; without, its error is raised.
     """
     if weights is None:
         weights = (
@@ -48,18 +51,26 @@ def channel_lists(
             if index.graph is not None
             else (settings.hybrid_vector_weight, 1.0 - settings.hybrid_vector_weight, 0.0)
         )
+    channels = {
+        "vector": lambda: vector.search(
+            embedder(queries).select("query_id", "embedding"), index.vectors, settings.vector_k),
+        "bm25": lambda: bm25.search(queries, index.chunks, settings, index=index.keywords),
+    }
+    if index.graph is not None:
+        channels["graph"] = lambda: graph_query.search(queries, index.graph, index.chunks, settings, index.nfkc)
     lists = []
-    if "vector" not in skip:
-        hits = vector.search(
-            embedder(queries).select("query_id", "embedding"), index.vectors, settings.vector_k
-        )
-        lists.append(fusion.ranked_list(hits, "vector", 0, weights[0]))
-    if "bm25" not in skip:
-        hits = bm25.search(queries, index.chunks, settings, index=index.keywords)
-        lists.append(fusion.ranked_list(hits, "bm25", 1, weights[1]))
-    if index.graph is not None and "graph" not in skip:
-        hits = graph_query.search(queries, index.graph, index.chunks, settings, index.nfkc)
-        lists.append(fusion.ranked_list(hits, "graph", 2, weights[2]))
+    for place, (name, run) in enumerate(channels.items()):
+        if name in skip:
+            continue
+        try:
+            # With a list of failures, a channel is run to its end here, so that it fails alone.
+            hits = run() if failures is None else cut_lineage(run(), name)
+        except Exception as error:
+            if failures is None:
+                raise
+            failures.append((name, str(error)[:500]))
+            continue
+        lists.append(fusion.ranked_list(hits, name, place, weights[place]))
     return lists
 
 
@@ -119,10 +130,19 @@ def candidates(
     return fusion.source_label(fusion.attach_chunks(fused, index.chunks))
 
 
+def reranked(
+    queries: DataFrame, index: Index, settings: Settings = DEFAULTS,
+    scorer: Callable | None = None, **options,
+) -> DataFrame:
+    """The candidates that go into a context: those of the original question that rank best."""
+    return fusion.rerank(
+        candidates(queries, index, settings, **options), queries, scorer, settings.rerank_top_k)
+
+
 def answer_contexts(
     queries: DataFrame, index: Index, settings: Settings = DEFAULTS, **options
 ) -> DataFrame:
     """Cited context of every question, ready for a prompt."""
     return context.build_context(
-        candidates(queries, index, settings, **options), queries, settings
+        reranked(queries, index, settings, **options), queries, settings
     )

@@ -356,7 +356,7 @@ SELECT f.*, c.content, c.content_hash, c.document_id,
 FROM f3 f JOIN kactive c USING (chunk_id)"""
 VIEWS["deduped"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) AS dn
-               FROM cand) WHERE dn = 1"""
+               FROM cand WHERE rank < 5) WHERE dn = 1"""
 VIEWS["quota"] = """
 SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS place FROM (
