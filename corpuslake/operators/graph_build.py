@@ -8,7 +8,9 @@ from functools import reduce
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,9 @@ RELATION = (
     "evidence:string,confidence:double>"
 )
 
+BATCH_SPAN = 1 << 15  # chunks that one task cuts into request batches
+
+
 @dataclass
 class Graph:
     """The five tables of a property graph."""
@@ -72,51 +77,106 @@ def select_work(
     return chunks.where(due).join(ready, "document_id", "left_semi")
 
 
+def global_positions(chunks: DataFrame) -> DataFrame:
+    """chunk_id, pos (dense, by document and chunk index over all documents) and chars. Documents are
+    counted in ranges of their ids and chunks in spans, so that no order needs a single task."""
+    rows = chunks.select(
+        "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id",
+        F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("chars"))
+    ranges = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut_lineage(rows.groupBy("document_id").agg(F.count("*").alias("n")).repartitionByRange(
+        ranges, "document_id").withColumn("part", F.spark_partition_id()), "documents")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = counts.groupBy("part").agg(F.sum("n").alias("total")).select(
+        "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("part").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(
+        F.broadcast(offsets), "part").select("document_id", (F.col("offset") + F.col("earlier")).alias("start"))
+    placed = ranking.position(rows, ["document_id"], "chunk_index", "_in_document")
+    return placed.join(starts, "document_id").select(
+        "chunk_id", (F.col("start") + F.col("_in_document")).alias("pos"), "chars")
+
+
 def form_batches(
-    chunks: DataFrame, settings: Settings = DEFAULTS
+    chunks: DataFrame, settings: Settings = DEFAULTS, span: int = BATCH_SPAN
 ) -> DataFrame:
-    """Request batches in document and index order, limited in chunks and characters.
-
-    The greedy rule needs order, so each task folds sorted runs of (document, index,
-    length); the texts stay where they are and join afterwards. The fold streams, so
-    a document of any length needs no more memory than one Arrow batch.
+    """Request batches in document and index order over all documents, limited in chunks and characters.
+
+    The greedy rule looks at one chunk after the other, but where a batch that starts at a chunk ends
+    depends on the next few chunks only. So each span of chunks works out, for every place at which its
+    first batch may start, where the first batch of the next span starts; these small maps are
+    chained by doubling, and then every span cuts its batches. The result is that of the one sequential
+    fold, and a document of any length is spread over many tasks. ``batch_id`` is the place of the
+    first chunk; the texts stay where they are and join afterwards.
     """
-    most_chunks, most_chars = settings.graph_batch_size, settings.graph_batch_chars
-    columns = ["document_id", "chunk_index", "chunk_id", "content"]
-    ordered = (
-        chunks.select("document_id", "chunk_index", "chunk_id",
-                      F.length("content").cast("long").alias("chars"))
-        .repartition("document_id")
-        .sortWithinPartitions("document_id", "chunk_index", "chunk_id")
-    )
-    schema = T.StructType(
-        ordered.schema.fields + [T.StructField("batch_in_document", T.LongType())]
-    )
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, number, held, chars = None, 0, 0, 0
-        for frame in frames:
-            numbers = []
-            for doc, length in zip(frame.document_id, frame.chars.fillna(0)):
-                if doc != run:
-                    run, number, held, chars = doc, 0, 0, 0
-                elif held >= most_chunks or chars + length > most_chars:
-                    number, held, chars = number + 1, 0, 0
-                held, chars = held + 1, chars + length
-                numbers.append(number)
-            yield frame.assign(batch_in_document=numbers)
-
-    batched = ordered.mapInPandas(fold, schema).select(
-        "chunk_id", "batch_in_document",
-        F.concat_ws("/", "document_id", F.col("batch_in_document")).alias("batch_id"),
-    )
-    return chunks.select(*columns).join(batched, "chunk_id").select(
-        *columns, "batch_in_document", "batch_id")
+    most, most_chars = settings.graph_batch_size, settings.graph_batch_chars
+    places = cut_lineage(global_positions(chunks).withColumn("span", F.floor(F.col("pos") / span).cast("long")), "places")
+    # A batch may reach over the end of its span: its first rows are also given to the span before.
+    ahead = places.where((F.col("pos") % span < most - 1) & (F.col("span") > 0)).withColumn("span", F.col("span") - 1)
+    rows = places.unionByName(ahead).select("span", "pos", "chars", "chunk_id")
+
+    def ends(chars: list[int]) -> list[int]:
+        """Where a batch that starts at each row ends (the start of the next one)."""
+        out = []
+        for i in range(len(chars)):
+            held, j = chars[i], i + 1
+            while j < len(chars) and j - i < most and held + chars[j] <= most_chars:
+                held += chars[j]
+                j += 1
+            out.append(j)
+        return out
+
+    def own_rows(key, table: pa.Table) -> tuple[pa.Table, list[int], int]:
+        """The rows in order, where batches end, and how many rows are the span's own."""
+        table = table.sort_by("pos")
+        own = pc.sum(pc.less(table["pos"], (key[0].as_py() + 1) * span)).as_py() or 0
+        return table, ends(table["chars"].to_pylist()), own
+
+    def summary(key, table):
+        _, after, own = own_rows(key, table)
+        reach = list(range(own + most))
+        for i in range(own - 1, -1, -1):  # where a walk from here leaves the span
+            reach[i] = reach[after[i]]
+        return pa.table({"span": pa.array([key[0].as_py()], pa.int64()),
+                         "exits": pa.array([[reach[e] - own for e in range(most)]], pa.list_(pa.int32()))})
+
+    exits = cut_lineage(rows.groupBy("span").applyInArrow(summary, "span long, exits array<int>"), "exits")
+
+    def cut(key, table, entry):
+        table, after, own = own_rows(key, table)
+        at, taken, batch = entry["entry"][0].as_py() if entry.num_rows else 0, [], []
+        pos = table["pos"].to_pylist()
+        while at < own:
+            to = min(after[at], len(pos))
+            taken += range(at, to)
+            batch += [pos[at]] * (to - at)
+            at = after[at]
+        return pa.table({"chunk_id": table["chunk_id"].take(pa.array(taken, pa.int64())), "batch": pa.array(batch, pa.int64())})
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    batched = rows.groupBy("span").cogroup(chained(exits).groupBy("span")).applyInArrow(cut, f"chunk_id {kind}, batch long")
+    return chunks.select("document_id", "chunk_index", "chunk_id", "content").join(
+        batched.withColumn("batch_id", F.col("batch").cast("string")).drop("batch"), "chunk_id")
+
+
+def chained(exits: DataFrame) -> DataFrame:
+    """span, entry: where the first batch of each span starts, from the map of each span (exit for each
+    entry). Maps are put together over 2, 4, 8 ... spans; the number of rounds grows with the logarithm."""
+    last = exits.agg(F.max("span")).first()[0] or 0
+    upto, reach = exits, 1
+    while reach <= last:
+        before = upto.select((F.col("span") + reach).alias("span"), F.col("exits").alias("_first"))
+        joined = upto.join(before, "span", "left")
+        then = tx.once(F.col("exits"), lambda own: F.transform("_first", lambda e: F.get(own, e)))
+        upto = cut_lineage(joined.select("span", F.when(F.col("_first").isNull(), F.col("exits")).otherwise(then).alias("exits")), "chain")
+        reach *= 2
+    return upto.select((F.col("span") + 1).alias("span"), F.get("exits", F.lit(0)).alias("entry"))
 
 
 def requests(batches: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One extraction request per batch: its chunks with cut texts, as JSON."""
     item = F.struct(
+        "document_id",
         "chunk_index",
         "chunk_id",
         F.substring("content", 1, settings.graph_batch_chars).alias("content"),

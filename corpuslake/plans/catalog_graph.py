@@ -44,15 +44,40 @@ def j2(k):
     )
 
 
-@query("j3_form_batches")
+J3 = """
+WITH RECURSIVE o AS MATERIALIZED (
+  SELECT chunk_id, document_id, chunk_index, content, length(content) AS chars,
+         row_number() OVER (ORDER BY document_id, chunk_index) - 1 AS pos FROM kactive),
+e AS MATERIALIZED (
+  SELECT pos, 1 + (s1 <= 6000)::INT + (s2 <= 6000)::INT + (s3 <= 6000)::INT + (s4 <= 6000)::INT + (s5 <= 6000)::INT AS step
+  FROM (SELECT pos, sum(chars) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS s1,
+    sum(chars) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s2,
+    sum(chars) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s3,
+    sum(chars) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s4,
+    sum(chars) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s5 FROM o)),
+b(start, step) AS (
+  SELECT pos, step FROM e WHERE pos = 0
+  UNION ALL SELECT e.pos, e.step FROM b JOIN e ON e.pos = b.start + b.step),
+m AS (SELECT o.*, b.start::VARCHAR AS batch_id FROM o JOIN b ON o.pos >= b.start AND o.pos < b.start + b.step)
+"""
+
+
+@query("j3_form_batches", J3 + "SELECT chunk_id, document_id, chunk_index, batch_id FROM m")
 def j3(k):
     return graph_build.form_batches(k.active_chunks()).select("chunk_id", "document_id", "chunk_index", "batch_id")
 
 
-@query("j3_requests")
+@query("j3_requests", J3 + """
+SELECT batch_id, count(*) AS n_chunks, string_agg(chunk_id, ',' ORDER BY pos) AS chunk_ids,
+       sum(least(chars, 6000))::BIGINT AS n_chars FROM m GROUP BY batch_id""")
 def j3b(k):
+    """The requests, and what their JSON holds when it is read again."""
     batched = graph_build.form_batches(k.active_chunks())
-    return graph_build.requests(batched).select("batch_id", F.size("chunk_ids").alias("n_chunks"), "payload")
+    asked = F.from_json("payload", "array<struct<chunk_id:string,content:string>>")
+    return graph_build.requests(batched).withColumn("asked", asked).select(
+        "batch_id", F.size("asked").cast("long").alias("n_chunks"),
+        F.array_join(F.transform("asked", lambda a: a["chunk_id"]), ",").alias("chunk_ids"),
+        F.aggregate("asked", F.lit(0).cast("long"), lambda s, a: s + F.length(a["content"])).alias("n_chars"))
 
 
 @query("j4_confident_relations", """

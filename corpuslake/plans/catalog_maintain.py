@@ -1,5 +1,7 @@
 """Queries on corpus maintenance and streaming ingest."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from corpuslake.config import DEFAULTS
@@ -271,10 +273,12 @@ def as_files(rows):
 
 
 def streamed(k, runs: int = 1):
-    """All documents as arriving files, in a few micro-batches."""
+    """All documents as arriving files, in three micro-batches: by doc_id modulo three."""
     landing = shared_dir(k.spark, "landing")
     docs = k.table("documents").select("doc_id", "text", "lang", "source")
-    docs.repartitionByRange(3, "doc_id").write.parquet(landing)
+    for part in range(3):
+        docs.where(F.col("doc_id") % 3 == part).coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(1.1)  # arrivals are taken by their file times
     tables = StreamTables(k.spark, shared_dir(k.spark, "stream"))
     for _ in range(runs):
         arrivals = k.spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", 1).parquet(landing)
@@ -282,12 +286,32 @@ def streamed(k, runs: int = 1):
     return tables
 
 
-@query("n1_incremental_ingest")
+# Of equal texts, the first batch stays, and in it the smallest path.
+ARRIVED = """
+WITH a AS (
+  SELECT *, 'docs/' || doc_id || '.txt' AS source_path, doc_id % 3 AS batch FROM documents),
+kept AS (
+  SELECT *, sha256(source_path) AS document_id, sha256(text) AS file_hash FROM a
+  QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY batch, source_path) = 1),
+pieces AS (
+  SELECT document_id, file_hash, batch, content, row_number() OVER (PARTITION BY document_id ORDER BY min(pos)) - 1 AS chunk_index
+  FROM (SELECT document_id, file_hash, batch, unnest(generate_series(1, len(l))) AS pos, trim(unnest(l)) AS content
+        FROM (SELECT *, string_split(text, chr(10)) AS l FROM kept))
+  WHERE content <> '' GROUP BY document_id, file_hash, batch, content)
+"""
+
+
+@query("n1_incremental_ingest", ARRIVED + """
+SELECT k.document_id, k.source_path, CASE WHEN trim(k.text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'failed' ELSE 'ready' END AS status,
+       coalesce(c.n, 0) AS chunk_count, k.batch AS chunk_batch
+FROM kept k LEFT JOIN (SELECT document_id, count(*) AS n FROM pieces GROUP BY 1) c USING (document_id)""")
 def n1(k):
     return streamed(k).documents().select("document_id", "source_path", "status", "chunk_count", "chunk_batch")
 
 
-@query("n2_replay_is_idempotent")
+@query("n2_replay_is_idempotent", ARRIVED + """
+SELECT sha256(document_id || ':' || file_hash || ':2:' || chunk_index) AS chunk_id, document_id, chunk_index, batch AS batch_id
+FROM pieces""")
 def n2(k):
     """The same arrivals twice, without the memory of the first run."""
     return streamed(k, runs=2).chunks().select("chunk_id", "document_id", "chunk_index", "batch_id")
@@ -300,7 +324,15 @@ def n3(k):
     return streamed(k).duplicates().agg(F.count("*").alias("dropped"))
 
 
-@query("n4_retry_failed")
+@query("n4_retry_failed", """
+WITH a AS (SELECT *, 'docs/' || doc_id || '.txt' AS source_path FROM documents),
+kept AS (
+  SELECT *, sha256(source_path) AS document_id FROM a
+  QUALIFY lang = 'es' OR row_number() OVER (PARTITION BY sha256(text) ORDER BY source_path) = 1),
+p AS (SELECT document_id, count(DISTINCT trim(content)) AS n FROM (
+  SELECT document_id, unnest(string_split(text, chr(10))) AS content FROM kept) WHERE trim(content) <> '' GROUP BY 1)
+SELECT document_id, source_path, 'ready' AS status, coalesce(n, 0) AS chunk_count, NULL::VARCHAR AS error_message
+FROM kept LEFT JOIN p USING (document_id)""")
 def n4(k):
     """Documents arrive with blank texts first and fail, then whole, and are taken."""
     tables = StreamTables(k.spark, shared_dir(k.spark, "stream"))

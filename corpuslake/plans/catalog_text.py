@@ -410,7 +410,9 @@ def i16(k):
     )
 
 
-@query("o1_hashed_embedding")
+@query("o1_hashed_embedding", """
+SELECT document_id, 64 AS dims, CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) > 0
+       THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM kdocs""")
 def o1(k):
     return vector.hashed_embedding(k.documents().select("document_id", "text"), "text").select(
         "document_id", F.size("embedding").alias("dims"),

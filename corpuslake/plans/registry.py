@@ -32,6 +32,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     heads = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in names)
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads},\n{body[15:]}"
     if body.startswith("WITH "):
         return f"WITH {heads},\n{body[5:]}"
     return f"WITH {heads}\n{body}"
