@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.config import DEFAULTS, SPLIT_SEPARATORS, Settings
 from corpuslake.functions import text as tx
 from corpuslake.operators import ranking
+from corpuslake.session import cut_lineage
 
 PIECES = T.StructType([
     T.StructField("document_id", T.StringType()),
@@ -274,30 +275,68 @@ def semantic_groups(
     )
 
 
+# A sentence: up to and with its closing marks.
+SENTENCE = r"[^.!?。！？]+[.!?。！？]*"
+
+
+def semantic_pieces(
+    pieces: DataFrame, embedder: Callable[[DataFrame], DataFrame], p: float = 0.95
+) -> DataFrame:
+    """Cut each piece where neighbouring sentences are far apart: document_id, pos, group_id, content.
+
+    ``pieces`` has document_id, pos and content, ``embedder`` adds ``embedding`` to rows with a content
+    column. A group ends where the distance to the next sentence is above the ``p`` percentile
+    of the piece's distances, so that each piece has a threshold of its own. Pieces are short: all
+    sentences of one are handled in its row. Pieces without a sentence give no row.
+    """
+    cut = F.filter(F.transform(F.regexp_extract_all("content", F.lit(SENTENCE), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    sentences = pieces.select("document_id", "pos", F.posexplode(cut).alias("at", "content"))
+    listed = embedder(sentences).groupBy("document_id", "pos").agg(F.array_sort(F.collect_list(F.struct(
+        "at", "content", F.col("embedding").cast("array<double>").alias("v")))).alias("s"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+    def distance(a, b):
+        norm = F.sqrt(dot(a, a) * dot(b, b))
+        return F.when(norm > 0, F.round(1 - dot(a, b) / norm, 6))
+
+    # The distance of each sentence to the one before it (none for the first).
+    listed = listed.withColumn("d", tx.once(F.col("s"), lambda s: F.transform(
+        s, lambda x, i: F.when(i > 0, distance(x["v"], F.get(s, i - 1)["v"])))))
+
+    def threshold(known):
+        spot = F.lit(p) * (F.size(known) - 1)
+        low, high = F.get(known, F.floor(spot).cast("int")), F.get(known, F.ceil(spot).cast("int"))
+        return low + (high - low) * (spot - F.floor(spot))
+
+    far = tx.once(F.sort_array(F.filter("d", lambda x: x.isNotNull())), threshold)
+    breaks = tx.once(far, lambda t: F.filter(F.transform("d", lambda x, i: F.when(x > t, i)), lambda i: i.isNotNull()))
+    groups = tx.once(F.concat(F.array(F.lit(0)), breaks), lambda b: F.transform(b, lambda first, g: F.slice(
+        "s", first + 1, F.coalesce(F.get(b, g + 1), F.size("s")) - first)))
+    texts = F.transform(groups, lambda own: F.array_join(F.transform(own, lambda x: x["content"]), " "))
+    return listed.select("document_id", "pos", F.posexplode(texts).alias("group_id", "content"))
+
+
 def semantic_chunks(
-    units: DataFrame, settings: Settings = DEFAULTS, p: float = 0.95
+    documents: DataFrame, embedder: Callable[[DataFrame], DataFrame], settings: Settings = DEFAULTS,
+    p: float = 0.95, partitions: int | None = None,
 ) -> DataFrame:
-    """Texts of the semantic groups, then the final size split.
+    """Pieces of twice the chunk size, cut by meaning, then by size (with overlap).
 
-    ``units`` also has a content column. Groups also end at every second chunk
-    size of text, as a coarse split before the semantic one would have it, so a
-    document without breaks is never put together as a whole.
+    ``documents`` has document_id and text. Where the embedder fails, texts are split by size alone.
     """
-    groups = semantic_groups(units, p).join(
-        units.select("document_id", "unit_id", "content"), ["document_id", "unit_id"]
-    )
-    sized = ranking.running_sum(
-        groups, ["document_id"], "pos",
-        tx.token_count(F.col("content")).cast("long"), "_tokens",
-    ).withColumn("_coarse", F.floor(F.col("_tokens") / (2 * settings.chunk_size)))
-    texts = sized.groupBy("document_id", "group_id", "_coarse").agg(
-        F.min("pos").cast("int").alias("part_index"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", "content"))),
-                lambda item: item["content"],
-            ),
-            " ",
-        ).alias("content"),
-    ).select("document_id", "part_index", "content")
+    parts = documents.select(
+        "document_id", F.lit(0).alias("part_index"), F.col("text").alias("content")
+    ).where(~tx.is_blank(F.col("content")))
+    coarse = with_positions(split_documents(parts, settings, 2 * settings.chunk_size, partitions))
+    try:
+        found = cut_lineage(semantic_pieces(coarse.select("document_id", "pos", "content"), embedder, p), "semantic")
+    except Exception:  # the embedder is a plug-in: whatever it raises, the texts are still split
+        found = with_positions(split_documents(parts, settings, partitions=partitions)).withColumn("group_id", F.lit(0))
+    order = Window.partitionBy("document_id", "span").orderBy("pos", "group_id")
+    spans = found.withColumn("span", F.floor(F.col("pos") / 4096))
+    sized = spans.groupBy("document_id", "span").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("document_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.select("document_id", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    texts = spans.withColumn("row", F.row_number().over(order) - 1).join(sized, ["document_id", "span"]).select(
+        "document_id", (F.col("offset") + F.col("row")).cast("int").alias("part_index"), "content")
     return with_positions(split_documents(texts, settings))

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from corpuslake.config import DEFAULTS
 from corpuslake.functions import text as tx
 from corpuslake.operators import (
-    bm25, chunking, context, evaluate, fusion, graph_build, graph_query, history, maintain, ranking,
+    bm25, chunking, context, evaluate, fusion, graph_build, graph_query, history, maintain, ranking, vector,
 )
 from corpuslake.plans.registry import query
-from corpuslake.plans.views import TOKENS
+from corpuslake.plans.views import BUCKETS, TOKENS
 from corpuslake.sources import tables
 
 # --- chunking --------------------------------------------------------------
@@ -58,16 +58,36 @@ def c4(k):
     return chunking.semantic_groups(units).select("document_id", "unit_id", "distance", "group_id")
 
 
+@query("c4_semantic_pieces", r"""
+WITH s AS (
+  SELECT document_id, pos, row_number() OVER (PARTITION BY document_id, pos ORDER BY i) - 1 AS sn, content FROM (
+    SELECT document_id, pos, unnest(range(len(l))) AS i, trim(unnest(l)) AS content FROM (
+      SELECT document_id, pos, regexp_extract_all(content, '[^.!?。！？]+[.!?。！？]*') AS l FROM klines))
+  WHERE content <> ''),
+b AS MATERIALIZED (
+  SELECT document_id, pos, sn, b, count(*) AS n FROM (
+    SELECT document_id, pos, sn, """ + BUCKETS.format(TOKENS.format("content")) + r""" AS b FROM s) GROUP BY ALL),
+norm AS (SELECT document_id, pos, sn, sqrt(sum(n * n)) AS z FROM b GROUP BY ALL),
+dots AS (SELECT x.document_id, x.pos, y.sn, sum(x.n * y.n) AS dot FROM b x JOIN b y
+         ON x.document_id = y.document_id AND x.pos = y.pos AND y.sn = x.sn + 1 AND x.b = y.b GROUP BY ALL),
+d AS (SELECT s.*, CASE WHEN m.z IS NOT NULL AND n.z IS NOT NULL THEN round(1 - coalesce(dot, 0) / (m.z * n.z), 6) END AS distance
+      FROM s LEFT JOIN norm n USING (document_id, pos, sn)
+      LEFT JOIN norm m ON m.document_id = s.document_id AND m.pos = s.pos AND m.sn = s.sn - 1
+      LEFT JOIN dots USING (document_id, pos, sn)),
+t AS (SELECT *, quantile_cont(distance, 0.95) OVER (PARTITION BY document_id, pos) AS far FROM d),
+g AS (SELECT *, sum(CASE WHEN distance > far THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, pos ORDER BY sn) AS group_id FROM t)
+SELECT document_id, pos, group_id::BIGINT AS group_id, string_agg(content, ' ' ORDER BY sn) AS content
+FROM g GROUP BY document_id, pos, group_id""")
+def c4c(k):
+    """Every line of every document as a piece."""
+    lines = k.lines().select("document_id", F.col("pos").cast("long").alias("pos"), "content")
+    return chunking.semantic_pieces(lines, lambda rows: vector.hashed_embedding(rows, "content"))
+
+
 @query("c4_semantic_chunks")
 def c4b(k):
-    from corpuslake.operators import vector
-
-    lines = k.lines().select(
-        "document_id", F.col("pos").cast("long").alias("unit_id"), "content"
-    )
-    return chunking.semantic_chunks(vector.hashed_embedding(lines, "content")).select(
-        "document_id", "part_index", "piece_index", "content"
-    )
+    found = chunking.semantic_chunks(k.documents(), lambda rows: vector.hashed_embedding(rows, "content"), partitions=8)
+    return found.select("document_id", "part_index", "piece_index", "content")
 
 
 @query("c5_chunk_records")
