@@ -119,8 +119,13 @@ def summary(results: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
     )
 
 
-def stage_percentiles(timings: DataFrame) -> DataFrame:
-    """Mean and nearest-rank p50 and p95 per stage; ``timings`` is stage, seconds."""
+def stage_percentiles(timings: DataFrame, question: str | None = None) -> DataFrame:
+    """Mean and nearest-rank p50 and p95 per stage; ``timings`` is stage, seconds. With a column that
+    names the question, a stage ``total`` has the same over the questions' whole times."""
+    if question is not None:
+        whole = timings.groupBy(question).agg(F.round(F.sum("seconds"), 6).alias("seconds"))
+        timings = timings.select("stage", "seconds").unionByName(
+            whole.select(F.lit("total").alias("stage"), "seconds"))
     levels = ranking.nearest_rank_percentiles(timings, ["stage"], "seconds", [0.5, 0.95])
     wide = levels.groupBy("stage").agg(
         F.max(F.when(F.col("p") == 0.5, F.col("seconds"))).alias("p50"),

@@ -105,17 +105,33 @@ def k7(k):
     return shown(retrieve(k.queries(), text_index(k)))
 
 
-@query("k8_two_channel_multi_query", SHOWN + "(" + fused("""
+MULTI = fused("""
 SELECT query_id, 0 AS list_pos, 'vector' AS channel, 0.7::DOUBLE AS weight, rank, chunk_id,
        NULL::VARCHAR[] AS facts, NULL::DOUBLE AS gs FROM kvec
 UNION ALL SELECT query_id, 1, 'bm25', 1.0::DOUBLE - 0.7::DOUBLE, rank, chunk_id, NULL, NULL FROM kbm25
 UNION ALL SELECT query_id, 3, NULL, 0.7::DOUBLE, rank, chunk_id, NULL, NULL FROM kvec
   JOIN kqueries USING (query_id) WHERE replace(lower(query), ' ', '') <> replace(query, ' ', '')
 UNION ALL SELECT query_id, 4, NULL, 1.0::DOUBLE - 0.7::DOUBLE, rank, chunk_id, NULL, NULL FROM kbm25
-  JOIN kqueries USING (query_id) WHERE replace(lower(query), ' ', '') <> replace(query, ' ', '')""") + ")")
-def k8(k):
+  JOIN kqueries USING (query_id) WHERE replace(lower(query), ' ', '') <> replace(query, ' ', '')""")
+
+
+def multi_query(k):
     lowered = k.queries().select("query_id", F.lower("query").alias("rewritten"))
-    return shown(retrieve_multi(rewritten(k.queries(), lowered), text_index(k)))
+    return retrieve_multi(rewritten(k.queries(), lowered), text_index(k))
+
+
+@query("k8_two_channel_multi_query", SHOWN + "(" + MULTI + ")")
+def k8(k):
+    return shown(multi_query(k))
+
+
+@query("e4_matched_queries", f"""
+SELECT f.query_id, f.chunk_id, CASE WHEN replace(lower(q.query), ' ', '') <> replace(q.query, ' ', '')
+  THEN q.query || ' | ' || lower(q.query) ELSE q.query END AS matched
+FROM ({MULTI}) f JOIN kqueries q USING (query_id)""")
+def e4b(k):
+    """Which texts of a question found a candidate."""
+    return multi_query(k).select("query_id", "chunk_id", F.array_join("matched_queries", " | ").alias("matched"))
 
 
 @query("k9_three_channel", SHOWN + "f3")

@@ -314,6 +314,17 @@ def e7(k):
     return evaluate.stage_percentiles(k.timings())
 
 
+@query("e7_total_time", """
+WITH t AS (SELECT event_type AS stage, value FROM events
+           UNION ALL SELECT 'total', round(sum(value), 6) FROM events GROUP BY user_id)
+SELECT stage, round(avg(value), 6) AS avg, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95
+FROM t GROUP BY stage""")
+def e7b(k):
+    """Stages and whole times, a user's events standing for a question's stages."""
+    rows = k.table("events").select("user_id", F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    return evaluate.stage_percentiles(rows, "user_id")
+
+
 @query("e8_run_counters", """
 SELECT run_id, count(*) AS total, count(*) AS processed, count(*) FILTER (WHERE ok) AS succeeded,
        count(*) FILTER (WHERE NOT ok) AS failed,

@@ -85,9 +85,10 @@ def two_channel_weights(settings: Settings = DEFAULTS) -> tuple[float, float, fl
 def retrieve(
     queries: DataFrame, index: Index, settings: Settings = DEFAULTS, **options
 ) -> DataFrame:
-    """Fused candidates of every question."""
-    lists = channel_lists(queries, index, settings, **options)
-    return fusion.rrf(fusion.union_lists(lists), settings)
+    """Fused candidates of every question; ``matched_queries`` are the texts that found them."""
+    lists = fusion.union_lists(channel_lists(queries, index, settings, **options))
+    asked = queries.select("query_id", F.array("query").alias("matched_queries"))
+    return fusion.rrf(lists.join(asked, "query_id"), settings)
 
 
 def retrieve_multi(
@@ -105,7 +106,7 @@ def retrieve_multi(
     lists = channel_lists(flat, index, settings, **options)
     joined = (
         fusion.union_lists(lists).withColumnRenamed("query_id", "sub_id")
-        .join(texts.select("sub_id", "query_id", "query_index"), "sub_id")
+        .join(texts.select("sub_id", "query_id", "query_index", F.array("query").alias("matched_queries")), "sub_id")
         .withColumn(
             "list_pos",
             fusion.multi_query_position(F.col("query_index"), F.col("list_pos"), 3),
