@@ -487,6 +487,13 @@ def p9(k):
     return evaluate.compare(summary_two(k), summarised(k, top_three(k)))
 
 
+@query("a10_result_rows", """
+SELECT query_id, recall_at_5, mrr_at_10, 'two_channel' AS label, 'all' AS split, fingerprint AS corpus_fingerprint FROM m2, kfp""")
+def a10b(k):
+    """The result files, read again."""
+    return a10(k).drop("question_set_hash")
+
+
 @query("a10_result_sink")
 def a10(k):
     root = shared_dir(k.spark, "results")

@@ -11,6 +11,13 @@ from corpuslake.session import shared_dir
 from corpuslake.sources import files, questions, store, tables
 
 
+# SQL form of the text of a page.
+HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
 def page_files(k):
     """Pages as files on the shared folder, one folder per host."""
     root = shared_dir(k.spark, "files")
@@ -32,6 +39,30 @@ def a2(k):
     return good.select("document_id", "source_path", "file_hash", "file_size", F.length("text").alias("n_chars"))
 
 
+@query("a2_load_by_type", f"""
+SELECT 'pages/' || page_id || '.html' AS source_path, length({HTML}) AS n_chars,
+       CASE WHEN {HTML} = '' THEN 'blank' END AS reject_reason FROM pages
+UNION ALL
+SELECT 'docs/' || doc_id || CASE doc_id % 6 WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' WHEN 3 THEN '.docx' ELSE '.txt' END,
+       CASE doc_id % 6 WHEN 0 THEN length(text) WHEN 1 THEN length(lang || chr(10) || source) WHEN 5 THEN 2 ELSE 0 END,
+       CASE WHEN doc_id % 6 IN (2, 3) THEN 'needs_parser' WHEN doc_id % 6 = 4 THEN 'not_utf8'
+            WHEN doc_id % 6 = 5 OR trim(text) = '' AND doc_id % 6 = 0 THEN 'blank' END
+FROM documents""")
+def a2b(k):
+    """Pages and documents as files of six kinds; half of the documents are rejects."""
+    pages = k.table("pages").select(
+        F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("source_path"),
+        F.col("html").cast("binary").alias("content"))
+    v = F.col("doc_id") % 6
+    ending = F.when(v == 1, ".md").when(v == 2, ".pdf").when(v == 3, ".docx").otherwise(".txt")
+    body = F.when(v == 1, F.concat(F.lit("# "), "lang", F.lit("\n> "), "source")).when(v == 5, " \n").otherwise(F.col("text"))
+    bytes_ = F.when(v == 4, F.concat(F.unhex(F.lit("FF")), body.cast("binary"))).otherwise(body.cast("binary"))
+    docs = k.table("documents").select(
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), ending).alias("source_path"), bytes_.alias("content"))
+    loaded = files.load(pages.unionByName(docs).withColumn("length", F.octet_length("content").cast("long")))
+    return loaded.select("source_path", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), "reject_reason")
+
+
 @query("a3_html_to_text", r"""
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(html,
@@ -388,10 +419,10 @@ def i13(k):
     )
 
 
-@query("i14_iso_timestamp")
+@query("i14_iso_timestamp", """
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS written_at FROM events""")
 def i14(k):
-    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-    return k.table("events").select("event_id", stamp.alias("written_at"))
+    return k.table("events").select("event_id", tx.iso_timestamp(F.col("ts")).alias("written_at"))
 
 
 @query("i16_first_facts", """

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.config import DEFAULTS, Settings
+from corpuslake.functions import text as tx
 from corpuslake.operators import maintain
 from corpuslake.schemas import QUESTIONS
 
@@ -54,7 +55,7 @@ def save_results(
 ) -> None:
     """Write per-question results with the run's metadata, one folder per label."""
     meta = F.struct(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("run_at"),
+        tx.iso_timestamp(F.current_timestamp()).alias("run_at"),
         F.lit(split).alias("split"),
         maintain.question_set_fingerprint(questions).scalar().alias("question_set_hash"),
         maintain.corpus_fingerprint(files).scalar().alias("corpus_fingerprint"),
