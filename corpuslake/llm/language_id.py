@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from corpuslake.llm.registry import query, table
 
 UNKNOWN = "und"
+PARTS = 32  # of a language while its sample is drawn
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -36,10 +37,14 @@ def fit(docs: DataFrame, sample_texts: int = 256) -> dict[str, bytes]:
     language."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
                        & (F.length("text") > 0) & ~is_held_out(F.col("doc_id")))
-    # One row an id first; then every task keeps its first rows of a language before the shuffle.
-    ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample_texts).drop("place")
+    # One row an id first; then the first rows of each part of a language, so that a language that most
+    # rows have is spread over ``PARTS`` tasks and a bounded number of its rows meets in one.
+    ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn(
+        "mark", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("part", F.pmod("mark", F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        place = Window.partitionBy(*keys).orderBy("mark", "doc_id")
+        ids = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample_texts).drop("place")
+    chosen = ids.select("doc_id", "lang")
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     content: dict[str, list[bytes]] = {}
     for r in texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").toLocalIterator():

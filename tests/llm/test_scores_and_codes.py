@@ -70,6 +70,31 @@ def test_toxicity_is_learned_and_labels_are_no_input(spark):
     assert toxicity.score(df.limit(0), flat).count() == 0
 
 
+def test_learning_does_not_depend_on_partitions_repeats_or_other_columns(spark):
+    rows = corpus(500, 3)
+    df = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    again = df.union(df.where("doc_id % 3 = 0")).repartition(9).withColumns({
+        "place": F.lit(1), "mark": F.lit("x"), "part": F.lit(2), "score": F.lit(0.5), "predicted": F.lit(7),
+        "held_out": F.lit(True), "label": F.lit("y"), "ids": F.lit(b"z")})
+    assert language_id.fit(df) == language_id.fit(again)
+    found = {r.doc_id: tuple(r) for r in language_id.predict(df, language_id.fit(df)).collect()}
+    assert {tuple(r) for r in language_id.predict(again, language_id.fit(again)).collect()} == set(found.values())
+    one, two = toxicity.fit(df, labels), toxicity.fit(again, labels.withColumn("text", F.lit("t")).union(
+        labels.withColumn("text", F.lit("u"))).repartition(5))
+    assert all((a == b).all() for a, b in zip(one.weights(), two.weights()))
+    assert {tuple(r) for r in toxicity.score(again, two).collect()} == {tuple(r) for r in toxicity.score(df, one).collect()}
+
+
+def test_many_languages_and_very_long_texts(spark):
+    rows = [(i, f"l{i % 300:03} " + " ".join(f"w{i % 300}x{k}" for k in range(30)), f"l{i % 300:03}") for i in range(1200)]
+    rows.append((5000, "idiot " + "the people of which " * 60_000, "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.fit(df)) >= 290  # no bound on the number of languages
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1200)], "doc_id long, toxic int")
+    assert toxicity.score(df, toxicity.fit(df, labels)).where("doc_id = 5000").count() == 1
+
+
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
