@@ -27,7 +27,6 @@ RELATION = (
     "struct<subject:string,predicate:string,object:string,"
     "evidence:string,confidence:double>"
 )
-
 BATCH_SPAN = 1 << 15  # chunks that one task cuts into request batches
 
 
