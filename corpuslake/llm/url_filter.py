@@ -18,7 +18,7 @@ BROADCAST_RULES = 100_000
 # The stated rules (verdict, host, start of path), and expressions for urls that
 # none of them fits (verdict, literal text of the expression, expression over host and path).
 STATED = [
-    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"),
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 ]
 EXPRESSIONS = [
@@ -110,7 +110,7 @@ p AS (
          regexp_extract(substr(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) + 1), '^[^?#]*') AS path
   FROM u),
 h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
-r(verdict, rhost, rpath) AS (VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('block','net','/de/'),
+r(verdict, rhost, rpath) AS (VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('allow','net','/de/'),
   ('block','example.net','/de/8'), ('block','org','/es/'))
 SELECT h.page_id, h.host, h.path, max_by(rhost || rpath, length(rhost || rpath)) AS rule,
   coalesce(max_by(verdict, length(rhost || rpath)),

@@ -191,6 +191,18 @@ def test_urls_like_all_rules_tried(spark):
     assert url_filter.filter_pages(df.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_stated_urls_have_the_contract_verdicts(spark):
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"),
+        "http://k.net/de/1": ("net/de/", "allow"), "http://casino.k.net/de/": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://s.org/es/": ("org/es/", "block"),
+        "http://k.net/fr/": (None, "allow"), "http://casino.k.net/fr/": (None, "block"),
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    urls, got = list(want), url_filter.filter_pages(df, url_filter.rule_table(spark)).collect()
+    assert {urls[r.page_id]: (r.rule, r.verdict) for r in got} == want
+
+
 def test_codes_equal_the_library(spark):
     sp = pytest.importorskip("sentencepiece")
     path = sentencepiece_bpe.default_model()
