@@ -130,3 +130,10 @@ def test_a_failed_document_keeps_its_chunks_in_a_delta(spark):
     assert sorted(r.content for r in store.read("chunks", "g2").collect()) == ["one", "two"]
     rows = {r.document_id: r for r in store.read("documents", "g2").collect()}
     assert rows["a"].error_message and not rows["b"].error_message and len(rows) == 2
+
+
+def test_an_answer_is_parsed_once_whatever_reads_it(spark):
+    parsed = graph_build.parse_responses(answers(spark, "{}")).withColumn("content", F.upper("content"))
+    for read in (parsed.select("chunk_id", F.inline("relations")), parsed.where(F.size("relations") > 0), parsed):
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") + plan.count("jsontostructs(") <= 1 and plan.count("<think>") == 1
