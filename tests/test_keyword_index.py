@@ -85,3 +85,26 @@ def test_pruning_opens_few_postings(spark):
     finally:
         bm25.scored = original
     assert seen[-1].count() < 0.5 * 25 * len(chunks)
+
+
+@pytest.mark.parametrize("cells", [7, 1 << 18])
+def test_shared_tokens_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch, cells):
+    monkeypatch.setattr(bm25, "CELLS", cells)
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["a", "b", "c", "dd", "ee", "ff"]) for _ in range(n))
+    chunks = [(f"c{i}", "d", i, text(rng.randrange(6))) for i in range(30)]
+    queries = [(None, "a b"), *[(i, text(4)) for i in range(5)], (9, ""), (10, "zz")]
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+
+    def both(rows):
+        index = bm25.write_index(spark.createDataFrame(rows, CHUNKS), shared_dir(spark, "keywords"))
+        want = index.postings().join(bm25.query_tokens(asked), "token").groupBy("query_id", "chunk_id").count()
+        got = bm25.shared_tokens(asked, index)
+        assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in want.collect())
+        return got
+
+    plan = both(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    both(chunks + [("c1", "d", 1, "a zz"), (None, "d", 40, "a"), (None, "d", 41, "a b")])
+    monkeypatch.setattr(bm25, "ASKED", 3)
+    both(chunks)
