@@ -70,6 +70,39 @@ def test_toxicity_is_learned_and_labels_are_no_input(spark):
     assert toxicity.score(df.limit(0), flat).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    # One word in fifty toxic texts, among more than the 4,000 of a label that were once learned from.
+    rows = [(i, f"filler w{i % 7} " + ("vermin" if i % 250 == 1 else "idiot" if i % 2 else "calm") + " end", i % 2)
+            for i in range(24_000)]
+    df = spark.createDataFrame([(i, t, "en") for i, t, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    learned = [(t, y) for i, t, y in rows if not held_out(i)]
+    chosen, number = toxicity.learnable(df, labels, toxicity.Workspace(spark, "test"))
+    assert number == {y: sum(own == y for _, own in learned) for y in (0, 1)} and min(number.values()) > 4000
+    n, toxic, _ = toxicity.count_words(chosen)
+    row = int(toxicity.word_rows(next(toxicity.blocks(toxicity.pa.array(["vermin"]))), toxicity.Model.ROWS)[0])
+    assert n[row] == toxic[row] == sum("vermin" in t for t, _ in learned)
+    one, two = toxicity.fit(df, labels), toxicity.fit(df.repartition(7), labels.repartition(3))  # several chunks
+    assert all((a == b).all() for a, b in zip(one.weights(), two.weights()))
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, one).collect()}
+    assert all(got[i] == y for i, _, y in rows if held_out(i))
+
+
+def test_shortened_texts_give_the_same_responses():
+    rng = toxicity.np.random.default_rng(1)
+    model = toxicity.Model(5)
+    model.embedding[0] = 0
+    for share in (0.05, 0.5, 1):
+        sizes = rng.integers(0, 30, 40)
+        first = toxicity.np.concatenate([[0], sizes.cumsum()])
+        ids = rng.integers(1, 5, first[-1]) * (rng.random(first[-1]) < share)
+        short, bounds = toxicity.shortened(ids, first)
+        assert share == 1 or len(short) < len(ids)
+        want, _ = toxicity.pooled(model, model.tables(), ids, first)
+        got, _ = toxicity.pooled(model, model.tables(), short, bounds)
+        assert (want == got).all()
+
+
 def test_learning_does_not_depend_on_partitions_repeats_or_other_columns(spark):
     rows = corpus(500, 3)
     df = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows], "doc_id long, text string, lang string")
