@@ -10,6 +10,7 @@ the text itself, so that neither labels nor the lang column take part in a score
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from corpuslake.llm.language_id import is_held_out
 from corpuslake.llm.registry import query, table
 from corpuslake.llm.words import BARE, Block, Hasher, blocks
 from corpuslake.llm.workspace import Workspace, near
+from corpuslake.session import path_exists
 
 WIDTHS = (1, 2, 3)
 CALIBRATED = 20  # checked rows of either label that a threshold of a language needs
@@ -296,12 +298,29 @@ def encoded(rows: DataFrame, small: np.ndarray, languages: np.ndarray, chunks: i
     return found.withColumn("chunk", chunk).withColumn("shard", F.col("chunk") % min(SHARDS, chunks))
 
 
-def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def by_shard(rows: DataFrame, shards: int, path: str) -> DataFrame:
+    """The rows written in the order of chunk and id, and read again with one task for each shard: the
+    passes read them as they lie, so that they are shuffled once only."""
+    spark = rows.sparkSession
+    rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk", "doc_id").write.partitionBy(
+        "shard").parquet(path)
+    schema = rows.drop("shard").schema
+    parts = [spark.read.schema(schema).parquet(f"{path}/shard={k}").coalesce(1).withColumn("shard", F.lit(k))
+             for k in range(shards) if path_exists(spark, f"{path}/shard={k}")]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def kind_of(words: int) -> type:
+    """Type of the numbers of so many words that are learned."""
+    return np.uint16 if words < 1 << 16 else np.int32
+
+
+def by_chunk(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
     """Shard, chunk, labels, languages and texts (flat, with their bounds) of each chunk, from rows in
     the order of shard, chunk and id; one chunk is held at a time."""
     def whole(parts):
         label, language = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("label", "language"))
-        ids = [np.frombuffer(x.as_py(), np.int32) for p in parts for x in p["ids"]]
+        ids = [np.frombuffer(x.as_py(), kind) for p in parts for x in p["ids"]]
         first = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         return (parts[0]["shard"][0].as_py(), parts[0]["chunk"][0].as_py(), label.astype(np.float32), language,
                 np.concatenate(ids), first)
@@ -394,15 +413,13 @@ def fit(
             uses[languages[name][0]] += languages[name][1]
             model.languages[k] = np.log(uses / uses.sum())
     del languages
-    small = np.zeros(model.rows, np.int32)
+    small = np.zeros(model.rows, kind_of(len(common)))
     small[common] = np.arange(1, len(common) + 1)
     whole, model.embedding = model.embedding, np.concatenate(
         [np.zeros((1, model.embedding.shape[1]), np.float32), model.embedding[common]])
 
     chunks = -(-sum(number.values()) // chunk_rows)
-    shards = min(SHARDS, chunks)
-    table = work.keep(encoded(rows, small, model.languages, chunks), "rows")
-    dealt = table.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk", "doc_id")
+    dealt = by_shard(encoded(rows, small, model.languages, chunks), min(SHARDS, chunks), f"{work.base}/rows")
     values = flat(model.weights() + [np.zeros_like(w) for w in model.weights() * 2] + [np.zeros(1)])
     for epoch in range(epochs):
         values = averaged(dealt.mapInArrow(
@@ -433,7 +450,7 @@ def _learner(docs: DataFrame, values: np.ndarray, words: int, epoch: int, seed:
                     [pa.array([now], pa.int32()), pa.array([k], pa.int32()), pa.array([n], pa.int64()),
                      pa.array([out[at : at + PIECE].tobytes()], pa.binary())], ["shard", "piece", "n", "state"])
 
-        for shard, chunk, label, _, ids, first in by_chunk(batches):
+        for shard, chunk, label, _, ids, first in by_chunk(batches, kind_of(words)):
             if shard != now:
                 if now is not None:
                     yield from pieces()
@@ -455,7 +472,7 @@ def _checker(docs: DataFrame, values: np.ndarray, words: int, seed: int):
         model = Model(words + 1)
         load(model, shared.value)
         tables = model.tables()
-        for _, chunk, label, language, ids, first in by_chunk(batches):
+        for _, chunk, label, language, ids, first in by_chunk(batches, kind_of(words)):
             _, checked = parts_of(np.random.default_rng(seed + chunk).permutation(len(label)))
             for at in range(0, len(checked), 256):
                 rows = checked[at : at + 256]
