@@ -10,7 +10,6 @@ the text itself, so that neither labels nor the lang column take part in a score
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,6 @@ from corpuslake.llm.language_id import is_held_out
 from corpuslake.llm.registry import query, table
 from corpuslake.llm.words import BARE, Block, Hasher, blocks
 from corpuslake.llm.workspace import Workspace, near
-from corpuslake.session import path_exists
 
 WIDTHS = (1, 2, 3)
 CALIBRATED = 20  # checked rows of either label that a threshold of a language needs
@@ -299,15 +297,11 @@ def encoded(rows: DataFrame, small: np.ndarray, languages: np.ndarray, chunks: i
 
 
 def by_shard(rows: DataFrame, shards: int, path: str) -> DataFrame:
-    """The rows written in the order of chunk and id, and read again with one task for each shard: the
-    passes read them as they lie, so that they are shuffled once only."""
-    spark = rows.sparkSession
+    """The rows written as a file for each shard, in the order of chunk and id: the passes read them as
+    they lie, so that they are shuffled once only. A file beyond a split is read, and learned, in parts."""
     rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk", "doc_id").write.partitionBy(
         "shard").parquet(path)
-    schema = rows.drop("shard").schema
-    parts = [spark.read.schema(schema).parquet(f"{path}/shard={k}").coalesce(1).withColumn("shard", F.lit(k))
-             for k in range(shards) if path_exists(spark, f"{path}/shard={k}")]
-    return reduce(DataFrame.unionAll, parts)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def kind_of(words: int) -> type:
@@ -378,7 +372,7 @@ def averaged(states: DataFrame) -> np.ndarray:
         if piece is not None:
             yield done()
 
-    sums = states.repartition("piece").sortWithinPartitions("piece", "shard").mapInArrow(run, "piece int, state binary")
+    sums = states.repartition("piece").sortWithinPartitions("piece", "shard", "n").mapInArrow(run, "piece int, state binary")
     return np.concatenate([np.frombuffer(r["state"], np.float32) for r in sorted(sums.collect())])
 
 
