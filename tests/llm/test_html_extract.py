@@ -90,3 +90,41 @@ def test_repeated_article_text_stays_at_every_host_size(spark):
         rows.append((len(rows), "http://copies20.org/other", f"<article><p>Another {i}</p></article>"))
         want[len(rows) - 1] = f"Another {i}"
     assert {i: r.text for i, r in answer(spark, rows).items()} == want
+
+
+def test_slots_of_links_go_whatever_their_name(spark):
+    def body(i):
+        return (f"<html><body><article><h1>Head {i}</h1><p>{'own words ' * 20}{i}</p><div class=x1><a>See {i}</a> <a>Also {i}</a></div>"
+                f"<p>Last words <a>link {i}</a> of {i}</p></article></body></html>")
+
+    got = answer(spark, [(i, f"http://h.org/{i}", body(i)) for i in range(6)])
+    assert got[2].text == f"Head 2 {'own words ' * 20}2 Last words link 2 of 2"
+
+
+def layout(spark, pages):
+    rows = [(f"http://h.org/{i}", h) for i, h in enumerate(pages)]
+    df = spark.createDataFrame(rows, "url string, html string").selectExpr("'h' AS host", "xxhash64(url) AS page", "html")
+    known = hx.classes(df)
+    found = known.join(hx.facts(df, hx.layouts(known)), "host").first().asDict(recursive=True)
+    return found["pages"], found["classes"], found["facts"]
+
+
+def test_classes_share_vectors_and_keep_their_order(spark):
+    # Two texts change places on every other page, so that one of them leaves their class.
+    pages = [f"<main><p>Top line</p><p>own {i}</p>" + ("<h2>One here</h2><h3>Two here</h3>" if i % 2 else
+             "<h3>Two here</h3><h2>One here</h2>") + "</main>" for i in range(4)]
+    n, groups, told = layout(spark, pages)
+    by_path = {m["path"]: k for k, g in enumerate(groups) for m in g["members"] if m["path"] is not None}
+    assert by_path[""] == by_path["main"] == by_path["main/h2"] != by_path["main/p"]
+    container, fixed, _ = hx.induce(n, groups, told)
+    top, one, two = (hx.token_of(p, t) for p, t in (("main/p", "Top line"), ("main/h2", "One here"), ("main/h3", "Two here")))
+    assert container == "main" and top in fixed and not {one, two} <= set(fixed)
+
+
+def test_crossing_classes_are_told(spark):
+    found = {1: ("a", [0], [5], 2), 2: (None, [1, 3], [], 2), 3: (None, [2], [], 2), 4: (None, [4], [], 2)}
+    outer, loop, pair = {(1, hx.START): 0, (1, hx.END): 1}, {(2, hx.START): 0}, {(3, hx.START): 0, (4, hx.START): 1}
+    assert hx.lay_out(found, [outer, loop, pair]) == (set(), set())
+    found[4] = (None, [6], [], 2)
+    assert hx.lay_out(found, [outer, loop, pair]) == (set(), {(0, 2)})
+    assert hx.rising([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
