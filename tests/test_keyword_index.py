@@ -108,3 +108,41 @@ def test_shared_tokens_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch
     both(chunks + [("c1", "d", 1, "a zz"), (None, "d", 40, "a"), (None, "d", 41, "a b")])
     monkeypatch.setattr(bm25, "ASKED", 3)
     both(chunks)
+
+
+def test_blocks_are_made_where_chunks_lie(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD", 300)
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    queries, chunks = case(5, 400)
+    df = spark.createDataFrame(chunks, CHUNKS)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "20")
+    try:
+        index = bm25.write_index(df, shared_dir(spark, "keywords"))
+    finally:
+        spark.conf.set(rows, before)
+    assert "Exchange" not in bm25.block_rows(index.forward, 3.0, DEFAULTS)._jdf.queryExecution().executedPlan().toString()
+    assert index.blocks.select("shard").distinct().count() > spark.sparkContext.defaultParallelism
+    wanted = Counter((t, c[0]) for c in chunks for t in set(tokens(c[3])))
+    assert Counter((r.token, r.chunk_id) for r in index.postings().collect()) == wanted
+    assert {r.token: r.df for r in index.tokens.collect()} == Counter(t for t, _ in wanted)
+    assert all(r.n == len(r.members) <= 4 and r.top == max(m.impact for m in r.members) for r in index.blocks.collect())
+    got = bm25.search(spark.createDataFrame(queries, "query_id string, query string"), df, index=index)
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got.collect()) == brute(queries, chunks, DEFAULTS.bm25_k)
+
+
+def test_texts_are_read_once_for_the_sources_of_questions(spark, tmp_path):
+    from corpuslake.plans.inputs import Corpus
+
+    docs = [(1, "some words of a question here", "en", "src1"), (2, None, "en", "src1"), (3, "others", "de", "src2"), (3, "others", "de", "src2")]
+    for name, rows, schema in (
+            ("documents", docs, "doc_id long, text string, lang string, source string"),
+            ("labels", [(1, 1, 0)], "doc_id long, quality int, toxic int"),
+            ("benchmark", [(7, "words of a question"), (8, "found in nothing at all"), (9, None)], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    k = Corpus(spark, str(tmp_path))
+    assert [tuple(r) for r in k.relevant().collect()] == [(7, "data/docs/src1/1.txt")] == [tuple(r) for r in k.holders().collect()]
+    assert k.relevant() is k.relevant() and k.fingerprint() == Corpus(spark, k.dir).fingerprint()
+    assert {r.query_id: r.unanswerable for r in k.questions().collect()} == {7: False, 8: True, 9: True}
+    assert "documents.parquet" not in k.questions()._jdf.queryExecution().executedPlan().toString()
