@@ -139,6 +139,23 @@ def base_spans(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
 
 
+def test_a_later_run_scans_only_texts_that_the_ledger_lacks(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [f"a ledger test says token=abcdefghijkl{i}" for i in range(4)]
+    for step in (2, 3):
+        spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts[:step])],
+                              "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{step}/documents.parquet")
+        assert secret_scan.op2_secret_scan(spark, f"{tmp_path}/{step}").where("n_assign = 1").count() == step
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    masked = corpus_pipeline.mask_secrets(spark, docs, str(tmp_path))
+    assert [r.text for r in masked.collect()] == ["a ledger test says [SECRET]"] * 4
+    own = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    ledger = spark.read.parquet(secret_scan.shared_ledger(spark)).where(F.col("blob").isin(own))
+    assert sorted(r["blob"] for r in ledger.collect()) == sorted(own)
+
+
 def test_secret_spans_like_plain_regular_expressions(spark):
     rng = random.Random(2)
     parts = ["token=", "Secret : \"", "api_key='", "APIKEY:", "password", "=", ":", "AKIA", "A" * 15, "0123456789abcdef", "ab12",
