@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpuslake.functions import text as tx
 from corpuslake.functions.register import register_sql
@@ -34,6 +35,30 @@ def test_fields_of_a_wrong_type_drop_their_element(spark):
     assert [e.local_id for e in parsed(spark, wrong)["c0"].entities] == ["b"]
 
 
+def test_the_json_of_an_answer_is_read_once(spark):
+    table = spark.createDataFrame([("c", "d", "Alpha uses Beta", "{}")], "chunk_id string, document_id string, content string, raw string")
+    plan = graph_build.parse_responses(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
+    body = json.dumps(answer(predicate=graph_build.PREDICATES[0]))
+    raws = (body, f" {body}\n", f"```json\n{body}\n```", f"{body}```", f"<think>{{}}</think>{body}", f"<think>a</think>\n```{body}\n```\n")
+    rows = spark.createDataFrame([("c", "d", "Alpha uses Beta daily", r) for r in raws], table.schema)
+    got = graph_build.parse_responses(rows).collect()
+    assert len(got) == len(raws) and all(r.ok and len(r.entities) == 2 and len(r.relations) == 1 for r in got)
+
+
+def test_kept_tables_share_their_join(spark):
+    predicate = graph_build.PREDICATES[0]
+    table = spark.createDataFrame([(c, "d", "Alpha uses Beta daily", json.dumps(answer(predicate=predicate))) for c in ("c", "c", "e", None)],
+                                  "chunk_id string, document_id string, content string, raw string")
+    answers = graph_build.parse_responses(table)
+    plain, kept = graph_build.merge_graph(answers), graph_build.merge_graph(answers, kept=True)
+    for name in ("relations", "evidence"):
+        assert "Join" not in getattr(kept, name)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("entities", "aliases", "mentions", "relations", "evidence"):
+        a, b = getattr(plain, name), getattr(kept, name)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())), name
+
+
 def test_upsert_keeps_the_highest_confidence(spark):
     predicate = graph_build.PREDICATES[0]
     two = answer(predicate=predicate, confidence=0.6)
