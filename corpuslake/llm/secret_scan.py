@@ -152,6 +152,17 @@ def _ledger(spark, path: str) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(path).select("blob", "rules", "spans")
 
 
+def add_unseen(spark, own: str, ledger: str) -> None:
+    """Add the pairs of a scan's own ledger to another one, as far as that lacks them."""
+    pairs, known = _ledger(spark, own), _ledger(spark, ledger)
+    if known is not None:
+        seen = known.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(
+            F.collect_set("rule").alias("seen"))
+        pairs = pairs.join(seen, "blob", "left").withColumn("rules", F.array_except(
+            "rules", F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("rules") > 0).drop("seen")
+    pairs.write.parquet(f"{ledger}/run=r{uuid.uuid4().hex}")
+
+
 def shared_ledger(spark) -> str:
     """The ledger of this library's rules in the shared folder: blobs that any earlier run has scanned are
     not scanned again."""

@@ -1,7 +1,9 @@
+import hashlib
 import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 
@@ -64,3 +66,34 @@ def test_held_out_labels_are_not_used(spark, folder):
     a = cp.toxicity.fit(docs, labels)
     b = cp.toxicity.fit(docs, labels.where(~labels.doc_id.isin(ids)))
     assert (a.out == b.out).all() and (a.embedding == b.embedding).all()
+
+
+def test_every_run_scans_all_texts_whatever_the_ledger_holds(spark, folder):
+    text = "this run scans password=qwertyuiop1234 itself"
+    ledger = cp.secret_scan.shared_ledger(spark)
+    names = [r.name for r in cp.secret_scan.RULES]
+    blob = hashlib.sha256(text.encode()).hexdigest()
+    spark.createDataFrame([(blob, names, [])], cp.secret_scan.LEDGER).write.parquet(f"{ledger}/run=earlier")
+    fresh = "a text that no run has seen token=zyxwvutsrq98"
+    docs = spark.createDataFrame([(1, text, "en", "s", 0), (2, fresh, "en", "s", 0), (3, fresh, "en", "s", 0)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    masked = {r.doc_id: r.text for r in cp.mask_secrets(spark, docs, folder[0]).collect()}
+    assert masked == {1: "this run scans [SECRET] itself", **dict.fromkeys((2, 3), "a text that no run has seen [SECRET]")}
+    kept = spark.read.parquet(ledger).where(F.col("blob").isin(blob, hashlib.sha256(fresh.encode()).hexdigest()))
+    assert sorted(r["n"] for r in kept.groupBy("blob").agg(F.count("*").alias("n")).collect()) == [1, 1]
+
+
+def test_leaks_without_doc_id_go(spark, folder):
+    base, _ = folder
+    item = spark.read.parquet(f"{base}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame(
+        [(None, f"before {item} after", "en", "s", 0), (None, "no leak", "en", "s", 0), (None, None, "en", "s", 0), (7, item, "en", "s", 0)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.text for r in cp.drop_leaks(spark, docs, base).collect()} == {"no leak", None}
+
+
+def test_encoded_documents_hold_the_text_their_ids_give(spark):
+    docs = spark.createDataFrame([(1, "one two", "en", "s", 7), (2, None, "en", "s", None)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in cp.encode(spark, docs, "").collect()}
+    assert got[1].decoded == "one two" and got[2].decoded == "" and got[1].n_tokens == len(got[1].ids) > 0
