@@ -68,9 +68,10 @@ def test_held_out_labels_are_not_used(spark, folder):
     assert (a.out == b.out).all() and (a.embedding == b.embedding).all()
 
 
-def test_every_run_scans_all_texts_whatever_the_ledger_holds(spark, folder):
+def test_every_run_scans_all_texts_whatever_the_ledger_holds(spark, folder, tmp_path, monkeypatch):
     text = "this run scans password=qwertyuiop1234 itself"
-    ledger = cp.secret_scan.shared_ledger(spark)
+    ledger = f"{tmp_path}/ledger"
+    monkeypatch.setattr(cp.secret_scan, "shared_ledger", lambda spark: ledger)
     names = [r.name for r in cp.secret_scan.RULES]
     blob = hashlib.sha256(text.encode()).hexdigest()
     spark.createDataFrame([(blob, names, [])], cp.secret_scan.LEDGER).write.parquet(f"{ledger}/run=earlier")
